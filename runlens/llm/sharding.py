@@ -50,11 +50,10 @@ def bins_of(h: np.ndarray, doc: np.ndarray, probes: list[int]) -> np.ndarray:
     """For each row the number of probes at or below its key."""
     pairs = [_narrow(p) for p in probes]
     ph, pd = np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64)
-    out = np.searchsorted(ph, h, "left")
-    upto = np.searchsorted(ph, h, "right")
-    tied = np.flatnonzero(upto > out)
-    for k in np.unique(out[tied]):
-        rows = tied[out[tied] == k]
+    first, upto = np.searchsorted(ph, h, "left"), np.searchsorted(ph, h, "right")
+    out, tied = first.copy(), np.flatnonzero(upto > first)
+    for k in np.unique(first[tied]):
+        rows = tied[first[tied] == k]
         out[rows] += np.searchsorted(pd[k : upto[rows[0]]], doc[rows], "right")
     return out
 
