@@ -29,7 +29,7 @@ from .common import SPACE_CLASS, WORD_PATTERN, let
 
 BUCKETS = 1 << 14
 MAX_TRUSTED = 20_000
-THRESHOLD = -0.25
+THRESHOLD = -0.3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 SYMBOLS = r"[#*$%&|<>]"
