@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import partitions, session, work_path
 
 SEGMENT_TOKENS = 1 << 16
 #: Distinct pieces kept per Python worker (about 200 bytes each); then the cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 #: Texts encoded together.
 SLICE_ROWS = 256
 END_ID = 0
@@ -41,8 +43,10 @@ class PieceEncoder:
 
     The tokenizer's pre-tokenizer always starts a token at the last space before a
     character that isn't white space, so a text without two spaces in a row encodes as
-    the pieces between its spaces do, each with its leading space. Texts with two spaces
-    in a row go to the tokenizer whole.
+    the pieces between its spaces do, each with its leading space. A new piece made of
+    letters, ASCII punctuation behind them and single line ends falls apart into
+    pre-tokens in one way, so its letter runs go straight to the tokenizer's model; all
+    other pieces, and texts with two spaces in a row, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -50,15 +54,59 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # The model's alphabet: printable bytes stand for themselves, the others follow from 256 on.
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        others = iter(range(256, 512))
+        self.alphabet = {b: b if b in printable else next(others) for b in range(256)}
+        self.space = chr(self.alphabet[0x20])
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.line_end = self._raw(["\n"])[0]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _run(self, run: str, lead: str) -> bytes:
+        """Ids of one pre-token: a run of letters or of punctuation."""
+        spelled = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(lead + spelled)]).tobytes()
+
+    def _simple(self, piece: str, lead: str) -> bytes | None:
+        """Ids of a piece of the simple kinds, else None."""
+        if piece.isalpha():
+            return self._run(piece, lead)
+        lines = piece.split("\n")
+        out = []
+        for k, line in enumerate(lines):
+            stem = line.rstrip(punctuation)
+            if not stem.isalpha():
+                return None
+            if k:
+                out.append(self.line_end)
+            cache = self.first if k or not lead else self.later
+            if (got := cache.get(stem)) is None:
+                got = cache[stem] = self._run(stem, "" if k else lead)
+            out.append(got)
+            if tail := line[len(stem) :]:
+                if (got := self.parts.get(tail)) is None:
+                    got = self._run(tail, "")
+                    if len(self.parts) < 10_000:
+                        self.parts[tail] = got
+                out.append(got)
+        return b"".join(out)
+
     def _fill(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        if new := [p for p in wanted if p not in cache]:
-            cache.update(zip(new, self._raw([lead + p for p in new])))
+        spelled, rest = self.space if lead else "", []
+        for piece in wanted.difference(cache.keys()):
+            ids = self._simple(piece, spelled)
+            if ids is None:
+                rest.append(piece)
+            else:
+                cache[piece] = ids
+        if rest:
+            cache.update(zip(rest, self._raw([lead + p for p in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
