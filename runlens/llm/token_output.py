@@ -38,6 +38,18 @@ SEGMENT_SCHEMA = "part int, seg int, start_in_part long, n_docs long, n_tokens l
 _loaded: dict[str, "PieceEncoder"] = {}
 
 
+class _Pieces(dict):
+    """Ids of pieces, worked out when a piece is first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.make(piece)
+        return got
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer through a cache of space-led pieces.
 
@@ -60,8 +72,8 @@ class PieceEncoder:
         others = iter(range(256, 512))
         self.alphabet = {b: b if b in printable else next(others) for b in range(256)}
         self.space = chr(self.alphabet[0x20])
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first = _Pieces(lambda p: self._piece(p, "", ""))
+        self.later = _Pieces(lambda p: self._piece(p, self.space, " "))
         self.parts: dict[str, bytes] = {}
         self.line_end = self._raw(["\n"])[0]
 
@@ -97,32 +109,24 @@ class PieceEncoder:
                 out.append(got)
         return b"".join(out)
 
-    def _fill(self, cache: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        spelled, rest = self.space if lead else "", []
-        for piece in wanted.difference(cache.keys()):
-            ids = self._simple(piece, spelled)
-            if ids is None:
-                rest.append(piece)
-            else:
-                cache[piece] = ids
-        if rest:
-            cache.update(zip(rest, self._raw([lead + p for p in rest])))
+    def _piece(self, piece: str, spelled: str, lead: str) -> bytes:
+        ids = self._simple(piece, spelled)
+        return self._raw([lead + piece])[0] if ids is None else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.first) + len(self.later) > CACHE_PIECES:
             self.first.clear()
             self.later.clear()
-        plain = [None if "  " in t else t.split(" ") for t in texts]
-        wanted: set[str] = set()
-        for pieces in plain:
-            if pieces:
-                wanted.update(pieces[1:])
-        self._fill(self.later, wanted, " ")
-        self._fill(self.first, {p[0] for p in plain if p}, "")
-        whole = iter(self._raw([t for t, p in zip(texts, plain) if p is None]))
-        later = self.later.__getitem__
-        return [next(whole) if p is None else self.first[p[0]] + b"".join(map(later, p[1:])) for p in plain]
+        later, out = self.later.__getitem__, []
+        for text in texts:
+            if "  " in text:
+                out += self._raw([text])
+            else:
+                pieces = iter(text.split(" "))
+                first = self.first[next(pieces)]
+                out.append(first + b"".join(map(later, pieces)))
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
