@@ -8,8 +8,8 @@ WARC-Refers-To. Payloads move once, to the archives.
 
 A record is a string, and the record separator is the line separator of Spark's text
 writer, so archives are valid WARC/1.1 files written by Spark's own committer on any file
-system. Archives hold about ``ARCHIVE_BYTES`` each. They are read back as whole files and
-parsed by Content-Length; digests of responses are recomputed and must agree.
+system, compressed by gzip. Archives hold about ``ARCHIVE_BYTES`` of records each. They are
+read back as whole files and parsed by Content-Length; digests of responses are recomputed and must agree.
 
 Defined cases: null html is an empty payload; null url gives no WARC-Target-URI, control
 characters and spaces in a url are percent-encoded; a null page_id is record "null",
@@ -20,6 +20,7 @@ and get the same record type each; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 
@@ -102,13 +103,13 @@ def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 0
     # Joined by page, not by payload: pages are many and distinct, so no key is hot.
     joined = rows.join(resolved, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")))
     text = joined.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html"), F.col("digest"), F.col("bytes"), F.col("refers_to")).alias("value"))
-    text.select("value").write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", max(1, math.ceil(total.n / width))).text(path)
+    text.select("value").write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", max(1, math.ceil(total.n / width))).text(path)
     return path
 
 
 def parse(data: bytes):
-    """Records of one archive: (headers by lower-case name, block)."""
-    at = 0
+    """Records of one archive, plain or gzip: (headers by lower-case name, block)."""
+    data, at = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         lines = data[at:end].decode().split("\r\n")
