@@ -8,9 +8,10 @@ to a document (pass * source size + words before it) are inverted through the in
 of the schedule to give the document its training position, and the assignments are
 range-sorted by position.
 
-Words before a document come from a two-level prefix sum: a source is cut into buckets
-of about ``BUCKET_ROWS`` rows by hash, so a source with a third of all rows is spread
-over many tasks and no window sees more than one bucket.
+Words before a document come from a two-level prefix sum: a source of n rows is cut by
+hash into about sqrt(n) buckets of as many rows, so a source with a third of all rows is
+spread over many tasks, and neither the windows inside buckets nor those over a source's
+buckets grow as the source does.
 
 Defined cases: null or empty text has size 0 and takes nothing; the null source is a
 source of its own, last in order; repeated rows are separate rows and take separately;
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import n_words, partitions, session, written
 
 CAP = 3
-BUCKET_ROWS = 20_000
 WEIGHTS = (1, 2, 3)
 #: Knots (time, density) of the schedule of each weight class: early, even, late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, cap: int = CAP, w
     """
     spark = session(docs)
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tkey")), "sizes")
-    plan = source_plan(sized, weights, cap).withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_ROWS)).withColumnRenamed("source", "_source")
+    plan = source_plan(sized, weights, cap).withColumn("buckets", F.ceil(F.sqrt("n_docs"))).withColumnRenamed("source", "_source")
     same = F.col("source").eqNullSafe(F.col("_source"))
     order = F.xxhash64("doc_id", "tkey")
     rows = sized.join(plan, same).drop("_source").withColumn("order", order).withColumn("bucket", F.pmod(F.shiftright("order", 3), F.col("buckets")))
