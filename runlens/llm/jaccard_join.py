@@ -10,12 +10,12 @@ group of copies is expanded into pairs, yet no link between different texts is l
 2. Classes with equal size and equal prefix collapse into one group. Groups that share a
    prefix token meet in that token's bucket; the smallest group is its pivot. By the
    prefix filter, two linked documents share a bucket or a group, hence a pivot.
-3. Every member of a group that met a pivot is verified against the pivot's leader: at
-   most one pair per index entry. That gives links and exact distances to the pivot.
-4. Two members of one pivot that are still in different components can only link if
-   their distances to the pivot differ by at most 0.2 (triangle inequality), their sizes
-   fit, and a 512-bit parity signature leaves room for the overlap. Those that pass are
-   verified too.
+3. Every member of a group that met a pivot is paired with the pivot's leader: at most
+   one pair per index entry. Pairs whose sizes and parity signatures (bits that bound the
+   overlap from above) leave room for a link are verified on the full sets.
+4. Two members of one pivot that are still in different components are compared by the
+   same bounds, and by the triangle inequality where both distances to the pivot are
+   known (they may differ by at most 0.2). Pairs that pass are verified too.
 5. Components by alternating large-star and small-star steps over written tables.
 
 Sets are computed from the texts again for the few documents that need verification,
@@ -42,10 +42,11 @@ from .common import forget, session, written
 SHINGLE = 5
 PERCENT = 80
 #: Counters of the frequency sketch and bits of the candidate table; fixed sizes.
-SKETCH, SKETCH_CHUNK = 1 << 20, 1 << 14
+SKETCH, SKETCH_CHUNK = 1 << 21, 1 << 14
 BITS, BITS_CHUNK = 1 << 24, 1 << 16
 MEMO_WORDS = 300_000
-SIGNATURE = 512
+#: Fewest bits of a signature; longer sets get the next power of two above their size.
+SIGNATURE = 256
 
 
 class _Hashes(dict):
@@ -115,8 +116,12 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> list[int]:
-    """Parity of the tokens in SIGNATURE bins: |a xor b| bounds the symmetric difference from below."""
-    parity = np.bincount(((tokens >> np.uint64(17)) % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+    """Parity of the tokens in as many bins as tokens or more: |a xor b| bounds the symmetric difference from below.
+
+    The bins of half the width are the exclusive or of both halves, so signatures of two widths compare.
+    """
+    bins = max(SIGNATURE, 1 << max(0, len(tokens) - 1).bit_length())
+    parity = np.bincount(((tokens >> np.uint64(17)) % np.uint64(bins)).astype(np.int64), minlength=bins) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -185,7 +190,7 @@ def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Shingle sets of at least the documents in ``ids`` (column id); a few more may come along."""
     shared = session(docs).sparkContext.broadcast(bit_table(ids))
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)).alias("at"), "text")
-    return written(rows.mapInArrow(_set_rows(shared), "id long, tokens array<long>").dropDuplicates(["id", "tokens"]), "sets")
+    return written(rows.mapInArrow(_set_rows(shared), "id long, tokens array<long>"), "sets")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,6 +202,16 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.withColumn("na", F.size("ta").cast("long")).withColumn("nb", F.size("tb").cast("long")).drop("ta", "tb")
 
 
+def room(n, n2, sig, sig2):
+    """Whether sizes and signatures leave room for a link: a condition that no linked pair fails."""
+    xor = lambda x, y: F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w))
+    half = lambda x: xor(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")))
+    both = F.when(F.size(sig) == F.size(sig2), xor(sig, sig2)).when(F.size(sig) > F.size(sig2), xor(half(sig), sig2)).otherwise(xor(sig, half(sig2)))
+    differ = F.aggregate(both, F.lit(0), lambda s, x: s + F.bit_count(x))
+    # Sizes that fit differ by less than a factor of two, so at most one halving is needed.
+    return (100 * F.least(n, n2) >= PERCENT * F.greatest(n, n2)) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (n + n2))
+
+
 def linked(common, na, nb):
     return 100 * common >= PERCENT * (na + nb - common)
 
@@ -230,9 +245,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     counts.unpersist()
     some = rows.where("n > 0 and doc_id is not null")
     # 1. Classes of equal sets; a doc_id with several texts links its classes.
-    classes = some.groupBy("d1", "d2", "n", "g1", "g2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "sig"))["sig"].alias("sig"))
-    classes = written(classes, "classes")
+    classes = written(some.groupBy("d1", "d2", "n", "g1", "g2", "sig").agg(F.min("doc_id").alias("rep")), "classes")
     same = some.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    same, sizes = written(same, "same"), written(rows.select("doc_id", "n"), "counts")
     # 2. Groups of equal prefix and size; their leader is the smallest representative.
     group = Window.partitionBy("g1", "g2", "n")
     grouped = written(classes.select("rep", "n", "sig", F.min("rep").over(group).alias("leader")), "groups")
@@ -240,32 +255,44 @@ def near_components(docs: DataFrame) -> DataFrame:
     index = rows.select(F.col("doc_id").alias("leader"), "prefix").join(leaders, "leader", "left_semi").select("leader", F.explode("prefix").alias("token"))
     met = index.withColumn("pivot", F.min("leader").over(Window.partitionBy("token"))).where("leader != pivot").select("leader", "pivot").distinct()
     met = written(met, "met")
+    forget(rows)
     # 3. Members against pivots, and against the leader of their own group.
     members = grouped.select("rep", "leader")
     stars = members.join(met, "leader").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).union(members.where("rep != leader").select("rep", "leader"))
     stars = stars.union(members.join(met.select(F.col("pivot").alias("leader")).distinct(), "leader").where("rep != leader").select("rep", "leader")).distinct()
-    stars = written(stars, "stars")
-    sets = set_table(docs, stars.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    checked = written(overlaps(stars, sets).groupBy("a", "b").agg(F.max(F.struct((F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("j"), linked(F.col("common"), F.col("na"), F.col("nb")).alias("link"))).alias("m")).select("a", "b", "m.j", "m.link"), "checked")
+    bounds = grouped.select("rep", "n", "sig")
+    near, far = (bounds.select(*(F.col(x).alias(y) for x, y in zip(("rep", "n", "sig"), z))) for z in (("a", "n", "sig"), ("b", "n2", "sig2")))
+    both = stars.join(near, "a").join(far, "b").select("a", "b", "n", "sig", room(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2")).alias("room"))
+    stars = written(both, "stars")
+    forget(met)
+    forget(grouped)
+    forget(classes)
+    sets = set_table(docs, stars.where("room").select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    got = overlaps(stars.where("room").select("a", "b"), sets)
+    share = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    got = got.groupBy("a", "b").agg(F.max(share).alias("j"), F.bool_or(linked(F.col("common"), F.col("na"), F.col("nb"))).alias("link"))
+    checked = written(got, "checked")
+    forget(sets)
     links = same.union(checked.where("link").select("a", "b"))
     found = written(components(links), "components")
     # 4. What one pivot brought together without a link so far: members outside its component against all its members.
     label = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     own = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    side = checked.join(grouped.select(F.col("rep").alias("a"), "n", "sig"), "a").join(label, "a", "left").join(own, "b", "left")
+    side = stars.join(checked.select("a", "b", "j"), ["a", "b"], "left").join(label, "a", "left").join(own, "b", "left")
     side = written(side.select("a", "b", "j", "n", "sig", F.coalesce("ca", "a").alias("c"), F.coalesce("cb", "b").alias("cb")), "sides")
     minor = side.where("c != cb").drop("cb")
     other = side.select("b", *(F.col(x).alias(x + "2") for x in ("a", "j", "n", "sig", "c")))
-    differ = F.aggregate(F.zip_with("sig", "sig2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    fits = (F.col("c") != F.col("c2")) & (F.abs(F.col("j") - F.col("j2")) <= 1 - PERCENT / 100 + 1e-9)
-    fits &= 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
-    fits &= (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("n") + F.col("n2"))
+    fits = (F.col("c") != F.col("c2")) & F.coalesce(F.abs(F.col("j") - F.col("j2")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
+    fits &= room(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2"))
     left_over = minor.join(other, "b").where(fits).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b"))
     left_over = written(left_over.distinct(), "open")
     if not left_over.isEmpty():
-        more = overlaps(left_over, sets).where(linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
+        more_sets = set_table(docs, left_over.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        more = overlaps(left_over, more_sets).where(linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
         found = written(components(links.union(more)), "components")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"))
+    for used in (same, stars, checked, side, left_over):
+        forget(used)
+    out = sizes.select("doc_id", F.col("n").alias("n_shingles"))
     named = found.withColumnRenamed("node", "doc_id")
     return out.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
