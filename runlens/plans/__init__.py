@@ -1,3 +1,5 @@
 """Registered queries of the library and their SQL."""
 
-ENTRY, QUERIES, ORACLE_SQL = None, {}, {}
+from .queries import ENTRY, ORACLE_SQL, QUERIES
+
+__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]

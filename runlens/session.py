@@ -39,3 +39,11 @@ def local_session(cpus: int | str = 8, **options: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
     } | options
     return SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
+
+
+def checkpointed(df):
+    """Cut the lineage of an iterative plan through the folder that driver and executors share."""
+    context = df.sparkSession.sparkContext
+    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-"))
+    return df.checkpoint(eager=True)
