@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_PATTERN, let
+from .common import WORD_PATTERN, let
 
 BUCKETS = 1 << 14
 MAX_TRUSTED = 20_000
@@ -39,14 +39,19 @@ def _empty_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def bucket(h: Column) -> Column:
+    """Bucket of a hash; BUCKETS is a power of two."""
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
 def features(text: Column) -> Column:
     """Bucket numbers of a text's tokens and of its neighbouring token pairs."""
     tokens = F.regexp_extract_all(F.lower(_empty_if_null(text)), F.lit(TOKEN_PATTERN), F.lit(0))
 
     def both(h: Column) -> Column:
         n = F.size(h)
-        pairs = F.zip_with(F.slice(h, 1, F.greatest(n - 1, F.lit(0))), F.slice(h, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-        return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")), pairs)
+        pairs = F.zip_with(F.slice(h, 1, F.greatest(n - 1, F.lit(0))), F.slice(h, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: bucket(F.xxhash64(a, b)))
+        return F.concat(F.transform(h, bucket), pairs)
 
     return let(F.transform(tokens, lambda x: F.xxhash64(x)), both)
 
@@ -94,7 +99,7 @@ def _repeat_words(hashes: Column) -> Column:
 
         return let(F.sort_array(packed), places)
 
-    return F.when(F.size(hashes) < 4, F.lit(0).cast("long")).otherwise(let(hashes, covered))
+    return let(hashes, lambda h: F.when(F.size(h) < 4, F.lit(0).cast("long")).otherwise(covered(h)))
 
 
 def figures(text: Column) -> Column:
@@ -103,13 +108,13 @@ def figures(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0))
     full_lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_PATTERN)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return let(
-        F.transform(found, lambda x: F.xxhash64(x)),
-        lambda h: F.struct(
-            F.size(h).cast("long").alias("n_words"),
-            (F.char_length(text) - F.regexp_count(text, F.lit(f"[{SPACE_CLASS}]"))).cast("long").alias("word_chars"),
+        found,
+        lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             full_lines.cast("long").alias("n_dup_lines"),
-            _repeat_words(h).alias("n_repeat_words"),
+            _repeat_words(F.transform(w, lambda x: F.xxhash64(x))).alias("n_repeat_words"),
         ),
     )
 
