@@ -44,7 +44,7 @@ PERCENT = 80
 #: Counters of the frequency sketch and bits of the candidate table; fixed sizes.
 SKETCH, SKETCH_CHUNK = 1 << 21, 1 << 14
 BITS, BITS_CHUNK = 1 << 24, 1 << 16
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: Fewest bits of a signature; longer sets get the next power of two above their size.
 SIGNATURE = 256
 
@@ -81,13 +81,20 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
+def _slices(batches):
+    """Batches of few rows, so that Python holds the texts and sets of only so many documents."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            yield batch.slice(at, 512)
+
+
 def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
 def _sketch_parts(batches):
     counts = np.zeros(SKETCH, np.int64)
-    for batch in batches:
+    for batch in _slices(batches):
         for text in batch.column(0).to_pylist():
             np.add.at(counts, (shingles(text) % np.uint64(SKETCH)).astype(np.int64), 1)
     if counts.any():
@@ -132,7 +139,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _prefix_rows(shared):
     def run(batches):
         counts = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = shingles(text)
@@ -175,7 +182,7 @@ def bit_table(ids: DataFrame) -> np.ndarray:
 def _set_rows(shared):
     def run(batches):
         table = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             doc, at, text = batch.columns
             where = at.to_numpy()
             chosen = np.flatnonzero(table[where >> 3] >> (7 - (where & 7)) & 1)
@@ -248,6 +255,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     classes = written(some.groupBy("d1", "d2", "n", "g1", "g2", "sig").agg(F.min("doc_id").alias("rep")), "classes")
     same = some.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     same, sizes = written(same, "same"), written(rows.select("doc_id", "n"), "counts")
+    # Copies stay out of the components: they follow their representative. Only a doc_id with several texts links classes.
+    several = same.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("k"))
+    tied = same.join(several.where("k > 1"), "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    tied = tied.union(same.join(classes.select(F.col("rep").alias("a")), "a", "left_semi").select("a", "b"))
+    tied = written(tied.distinct(), "tied")
     # 2. Groups of equal prefix and size; their leader is the smallest representative.
     group = Window.partitionBy("g1", "g2", "n")
     grouped = written(classes.select("rep", "n", "sig", F.min("rep").over(group).alias("leader")), "groups")
@@ -273,7 +285,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     got = got.groupBy("a", "b").agg(F.max(share).alias("j"), F.bool_or(linked(F.col("common"), F.col("na"), F.col("nb"))).alias("link"))
     checked = written(got, "checked")
     forget(sets)
-    links = same.union(checked.where("link").select("a", "b"))
+    links = tied.union(checked.where("link").select("a", "b"))
     found = written(components(links), "components")
     # 4. What one pivot brought together without a link so far: members outside its component against all its members.
     label = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -290,11 +302,12 @@ def near_components(docs: DataFrame) -> DataFrame:
         more_sets = set_table(docs, left_over.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         more = overlaps(left_over, more_sets).where(linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
         found = written(components(links.union(more)), "components")
-    for used in (same, stars, checked, side, left_over):
+    for used in (tied, stars, checked, side, left_over):
         forget(used)
-    out = sizes.select("doc_id", F.col("n").alias("n_shingles"))
-    named = found.withColumnRenamed("node", "doc_id")
-    return out.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # A document follows the component of its representative (itself, if it is one).
+    rep = same.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))
+    out = sizes.select("doc_id", F.col("n").alias("n_shingles")).join(rep, "doc_id", "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    return out.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
