@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .vocab import CLONE_FLAGS, OPERATIONS, SIGNALS
 
@@ -84,7 +85,11 @@ def exit_fields(spelling: Column) -> Column:
     return F.struct(F.when(code <= 255, code).alias("code"), signal_number(name).alias("signal"))
 
 
-@F.pandas_udf("struct<args:array<string>,returned:string>")
+#: A type object, so that importing this module needs no session.
+_PARTS = T.StructType([T.StructField("args", T.ArrayType(T.StringType())), T.StructField("returned", T.StringType())])
+
+
+@F.pandas_udf(_PARTS)
 def call_parts(body: pd.Series) -> pd.DataFrame:
     """Arguments and return value of a call: quotes and brackets nest, so no pattern splits them."""
 
