@@ -70,4 +70,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_toxicity, op4_mixing, op5_sharding, op6_decontamination, op7_quality, op8_jaccard_join, op9_license_scan, op10_warc)}
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i AS pos, ls[i] AS line FROM d, unnest(range(1, len(ls) + 1)) AS u(i)),
+k AS (SELECT *, translate(trim(line, {_SPACES}), '{_UPPER}', '{_LOWER}') AS key FROM l),
+f AS (SELECT key, 1 AS hit FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(hit) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hit IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id""",
+    "op10_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS response FROM p),
+g AS (SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS INT), 5) AS INT)) AS parts FROM h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(parts, lambda v: substr('{_BASE32}', ((v >> 15) & 31) + 1, 1) || substr('{_BASE32}', ((v >> 10) & 31) + 1, 1) || substr('{_BASE32}', ((v >> 5) & 31) + 1, 1) || substr('{_BASE32}', (v & 31) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM g""",
+}
