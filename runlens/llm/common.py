@@ -66,6 +66,21 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_held: dict[str, object] = {}
+
+
+def holds(name: str, clear) -> None:
+    """Register the cache that an operator keeps in a Python worker."""
+    _held[name] = clear
+
+
+def claim(name: str) -> None:
+    """An operator starts in this worker: caches that other operators left in it are dropped."""
+    for other, clear in _held.items():
+        if other != name:
+            clear()
+
+
 def let(value, body):
     """Bind ``value`` once for the use of ``body`` (a function of a column).
 

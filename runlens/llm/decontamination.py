@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import claim, session
 
 N, WINDOW = 3, 3
 MATCH, MISS, GAP = 2, -1, -1
@@ -159,6 +159,7 @@ class Block:
 
 def _counts(shared):
     def run(batches):
+        claim("")
         block = shared.value
         counts = np.zeros(len(block.grams), np.int64)
         for batch in batches:
@@ -191,6 +192,7 @@ def prepared_blocks(docs: DataFrame, benchmark: DataFrame):
 
 def _pairs(shared):
     def run(batches):
+        claim("")
         block = shared.value
         for batch in batches:
             rows = [(doc, *match) for doc, text in zip(*(c.to_pylist() for c in batch.columns)) for match in block.matches(text)]
@@ -211,6 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _clean(shared, column: int):
     def run(batches):
+        claim("")
         block = shared.value
         for batch in batches:
             yield batch.filter(pa.array([not block.matches(t) for t in batch.column(column).to_pylist()], pa.bool_()))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, session, written
+from .common import claim, forget, holds, session, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -60,6 +60,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+holds("hashes", _hashes.clear)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -83,6 +84,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 def _slices(batches):
     """Batches of few rows, so that Python holds the texts and sets of only so many documents."""
+    claim("hashes")
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             yield batch.slice(at, 512)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dac
-from .common import partitions, session, work_path
+from .common import claim, holds, partitions, session, work_path
 
 SEGMENT_TOKENS = 1 << 16
 #: Distinct pieces kept per Python worker (about 200 bytes each); then the cache starts anew.
@@ -36,6 +36,7 @@ END_ID = 0
 
 SEGMENT_SCHEMA = "part int, seg int, start_in_part long, n_docs long, n_tokens long, first_doc long, last_doc long, data binary"
 _loaded: dict[str, "PieceEncoder"] = {}
+holds("tokens", _loaded.clear)
 
 
 class _Pieces(dict):
@@ -138,6 +139,7 @@ def encoder(path: str) -> PieceEncoder:
 def _segments(tokenizer_path: str):
     def run(batches):
         part, seg, start = TaskContext.get().partitionId(), 0, 0
+        claim("tokens")
         coder, end = encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         docs, ends, data, held = [], [], [], 0
 
