@@ -13,12 +13,19 @@ OPERATIONS = {
 # Change kinds in rank order and their category names.
 RANKS = ["ExitStatus", "CaptureCompleteness", "InvocationContext", "SuccessToFailure", "FailedExecutionAttempt", "NewExecutable", "NewFileAccess", "RemovedExecutable", "OutcomeSetChange", "OtherObservation"]
 CATEGORIES = {
-    "Executable": "Executable changes",
+    "ExitStatus": "Exit status",
+    "CaptureCompleteness": "Capture completeness",
+    "InitialWorkingDirectory": "Initial working directory",
+    "CommandArguments": "Command arguments",
+    "SelectedStartupEnvironment": "Selected startup environment",
     "ExecutionAttempt": "Execution attempt changes",
-    "NewFileAccess": "New file accesses",
-    "RemovedFileAccess": "Removed file accesses",
+    "Executable": "Executable changes",
+    "NewFileAccess": "New file access",
+    "RemovedFileAccess": "Removed file access",
     "FileAccessOutcome": "File access outcome changes",
 }
+NOT_SELECTED = "(not selected/unknown)"
+UNSET = "(unset)"
 
 # Linux signal numbers.
 SIGNALS = {
@@ -46,3 +53,24 @@ ERRNO_PATTERN = "^E[A-Z0-9_]+$"
 UNTRUSTED = ["Unintroduced", "Reappeared", "LiveCollision"]
 EVIDENCE_LIMIT = 3
 ALWAYS_SHOWN = 5
+
+# Texts of context warnings.
+CONTEXT_REASONS = {
+    "no child": "spawn result lacked a usable child task identity",
+    "spawn namespace": "namespace creation leaves only the new child path context unproven",
+    "spawn unknown": "clone flags did not prove whether filesystem state is shared",
+    "spawn overlap": "private clone overlapped an unresolved FS transition",
+    "unshare connected": "namespace change did not prove filesystem state was split",
+    "unshare unknown": "unshare flags did not prove its filesystem effect",
+    "unshare over fork": "unshare overlapped an unresolved private clone snapshot",
+    "unshare overlap": "unshare overlapped an unresolved FS transition",
+    "namespace over fork": "namespace change overlapped an unresolved private clone snapshot",
+    "namespace": "namespace change leaves only the caller path context unproven",
+    "root": "root or namespace operation is outside the CWD model",
+    "mount": "mount namespace transition has process-wide unmodeled reach",
+    "cwd over fork": "directory change overlapped an unresolved private clone snapshot",
+    "cwd unknown": "successful directory change has no absolute per-syscall directory evidence",
+    "cwd overlap": "directory changes overlap and their order is not proven",
+    "path": "path context unresolved; last observed CWD is not a verified current path; consult raw evidence",
+    "argv": "execution arguments incomplete",
+}

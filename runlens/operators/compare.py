@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.vocab import ALWAYS_SHOWN, DETAIL_FAILED, DETAIL_TEMPORARY, EVIDENCE_LIMIT
+from runlens.functions.text import quoted
+from runlens.functions.vocab import ALWAYS_SHOWN, DETAIL_FAILED, DETAIL_TEMPORARY, EVIDENCE_LIMIT, NOT_SELECTED, UNSET
 
 KEY = ["pair_id", "kind", "operation", "path"]
 
@@ -45,13 +46,14 @@ def changes(events: DataFrame) -> DataFrame:
     change = F.when(F.col("kind") == "exec", F.when(failed, "ExecutionAttempt").otherwise("Executable")).when(no_left, "NewFileAccess").when(no_right, "RemovedFileAccess").otherwise("FileAccessOutcome")
     rows = rows.withColumn("change", change)
     lost = (F.array_join("left", ",") == "success") & ~no_right & ~F.array_contains("right", "success")
+    failing = ~no_right & ~F.array_contains("right", "success")
     rank = (
         F.when(lost, 3)
-        .when(F.col("change") == "ExecutionAttempt", 4)
-        .when((F.col("change") == "Executable") & no_left, 5)
+        .when((F.col("change") == "ExecutionAttempt") & failing, 4)
+        .when((F.col("change") == "Executable") & ~no_right, 5)
         .when(F.col("change") == "NewFileAccess", 6)
-        .when((F.col("change") == "Executable") & no_right, 7)
-        .when(F.col("change") == "FileAccessOutcome", 8)
+        .when(F.col("change") == "Executable", 7)
+        .when(F.col("change").isin("FileAccessOutcome", "ExecutionAttempt"), 8)
         .otherwise(9)
     )
     return rows.withColumn("rank_class", rank)
@@ -69,7 +71,7 @@ def temporary(path) -> F.col:
     leaf = F.regexp_extract(path, "[^/]*$", 0)
     scratch = path.rlike(r"(^|/)(rustc|rmeta|\.tmp)[A-Za-z0-9]{6}(/|$)")
     objects = path.contains("/objects/") & leaf.rlike(r"^tmp_obj_[A-Za-z0-9]{6}$")
-    assembler = path.startswith("/tmp") & leaf.rlike(r"^cc[A-Za-z0-9]{6}\.s$")
+    assembler = path.startswith("/tmp/") & leaf.rlike(r"^cc[A-Za-z0-9]{6}\.s$")
     return scratch | objects | assembler
 
 
@@ -122,12 +124,14 @@ def mapping_counts(events: DataFrame) -> DataFrame:
 def environment_changes(environments: DataFrame) -> DataFrame:
     """Three-valued comparison of environment maps (pair_id, left, right: map<string,string>).
 
-    A key may be missing (unselected), null (selected, unset) or a value; a null map is
-    unknown and gives no rows.
+    A key may be missing (not selected), null (selected, unset) or a value, empty or not; a
+    null map (a record without selection data) selects nothing.
     """
-    known = environments.where(F.col("left").isNotNull() & F.col("right").isNotNull())
+    empty = F.create_map().cast("map<string,string>")
+    known = environments.select("pair_id", F.coalesce("left", empty).alias("left"), F.coalesce("right", empty).alias("right"))
     keys = known.select("*", F.explode(F.array_union(F.map_keys("left"), F.map_keys("right"))).alias("name"))
-    state = lambda m: F.when(~F.map_contains_key(m, F.col("name")), "unselected").when(F.col(m)[F.col("name")].isNull(), "unset").otherwise(F.concat(F.lit("="), F.col(m)[F.col("name")]))
+    value = lambda m: F.try_element_at(F.col(m), F.col("name"))
+    state = lambda m: F.when(~F.map_contains_key(F.col(m), F.col("name")), NOT_SELECTED).when(value(m).isNull(), UNSET).otherwise(F.concat(F.lit("value="), quoted(value(m))))
     out = keys.select("pair_id", "name", state("left").alias("before"), state("right").alias("after"))
     return out.where("before <> after")
 

@@ -33,7 +33,7 @@ MERGED = SETS + """, m AS (SELECT coalesce(l.pair_id,r.pair_id) AS pair_id, coal
  FROM (SELECT * FROM s WHERE side='left') l FULL OUTER JOIN (SELECT * FROM s WHERE side='right') r ON l.pair_id=r.pair_id AND l.kind=r.kind AND l.operation=r.operation AND l.path=r.path)"""
 CHANGES = MERGED + """, ch0 AS (SELECT *, list_filter(string_split(concat_ws(',', nullif(left_outcomes,''), nullif(right_outcomes,'')), ','), lambda x: x <> 'success') AS failures FROM m WHERE left_outcomes <> right_outcomes),
 ch1 AS (SELECT *, CASE WHEN kind='exec' THEN CASE WHEN len(failures)>0 THEN 'ExecutionAttempt' ELSE 'Executable' END WHEN left_outcomes='' THEN 'NewFileAccess' WHEN right_outcomes='' THEN 'RemovedFileAccess' ELSE 'FileAccessOutcome' END AS change FROM ch0),
-ch AS (SELECT *, CASE WHEN left_outcomes='success' AND right_outcomes<>'' AND NOT list_contains(string_split(right_outcomes,','),'success') THEN 3 WHEN change='ExecutionAttempt' THEN 4 WHEN change='Executable' AND left_outcomes='' THEN 5 WHEN change='NewFileAccess' THEN 6 WHEN change='Executable' AND right_outcomes='' THEN 7 WHEN change='FileAccessOutcome' THEN 8 ELSE 9 END AS rank_class FROM ch1)"""
+ch AS (SELECT *, CASE WHEN left_outcomes='success' AND right_outcomes<>'' AND NOT list_contains(string_split(right_outcomes,','),'success') THEN 3 WHEN change='ExecutionAttempt' AND right_outcomes<>'' AND NOT list_contains(string_split(right_outcomes,','),'success') THEN 4 WHEN change='Executable' AND right_outcomes<>'' THEN 5 WHEN change='NewFileAccess' THEN 6 WHEN change='Executable' THEN 7 WHEN change IN ('FileAccessOutcome','ExecutionAttempt') THEN 8 ELSE 9 END AS rank_class FROM ch1)"""
 RANKED = CHANGES + """, rk0 AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY kind, operation, path) AS comparison_order FROM ch),
 rk AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY rank_class, comparison_order) AS rank FROM rk0)"""
 PRESENTED = RANKED + """, dg AS (SELECT *, CASE WHEN kind<>'file' OR (left_outcomes<>'' AND right_outcomes<>'') THEN NULL WHEN NOT list_contains(string_split(left_outcomes || ',' || right_outcomes, ','),'success') THEN 'One-sided unsuccessful file accesses (not necessarily faults)' WHEN regexp_matches(path,'(^|/)(rustc|rmeta|\\.tmp)[A-Za-z0-9]{6}(/|$)') THEN 'Temporary-looking file paths (heuristic, not ignored)' END AS detail_group FROM rk),
@@ -273,12 +273,15 @@ def document_checksums(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(text, 256).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"), (ends + tail).cast("long").alias("n_lines"))
 
 
-@query("v AS (SELECT n_nationkey AS pair_id, n_regionkey AS g FROM nation) SELECT CAST(pair_id AS BIGINT) AS pair_id, 'A' AS name, CASE WHEN g=0 THEN 'unset' ELSE '=' || CAST(g AS VARCHAR) END AS before, CASE WHEN g=2 THEN 'unselected' ELSE '=1' END AS after FROM v WHERE g<>1".replace("v AS", "WITH v AS", 1), adapted=False)
+@query("""WITH v AS (SELECT CAST(n_nationkey AS BIGINT) AS pair_id, n_regionkey AS g FROM nation),
+x AS (SELECT *, CASE WHEN g=0 THEN '(unset)' ELSE 'value="' || CAST(g AS VARCHAR) || '"' END AS before, CASE WHEN g=2 OR g=4 THEN '(not selected/unknown)' ELSE 'value="1"' END AS after FROM v)
+SELECT pair_id, 'A' AS name, before, after FROM x WHERE before<>after UNION ALL SELECT pair_id, 'B', 'value="a\\"b\\n"', '(not selected/unknown)' FROM v WHERE g=4""", adapted=False)
 def env_three_valued(spark, sf_dir):
     g = F.col("n_regionkey")
     rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    left = F.create_map(F.lit("A"), F.when(g != 0, g.cast("string")), F.lit("B"), F.lit("same"))
-    right = F.when(g == 2, F.create_map(F.lit("B"), F.lit("same"))).otherwise(F.create_map(F.lit("A"), F.lit("1"), F.lit("B"), F.lit("same")))
+    same = F.lit('a"b\n')
+    left = F.create_map(F.lit("A"), F.when(g != 0, g.cast("string")), F.lit("B"), same)
+    right = F.when(g == 2, F.create_map(F.lit("B"), same)).when(g != 4, F.create_map(F.lit("A"), F.lit("1"), F.lit("B"), same))
     return compare.environment_changes(rows.select(F.col("n_nationkey").cast("long").alias("pair_id"), left.alias("left"), right.alias("right")))
 
 

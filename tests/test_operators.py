@@ -5,7 +5,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
-from runlens.functions import decode
+from runlens.functions import decode, text
 from runlens.operators import lifecycle
 from runlens.operators.context import resolve
 from runlens.sources import store, trace
@@ -86,9 +86,47 @@ def test_context_follows_changes_and_children():
     assert not any(g[1] for g in got)
 
 
+def flags(*events):
+    return [g[1] for g in machine(*events)]
+
+
+SPAWN = {"kind": "spawn", "operation": "clone", "child_pid": "2", "child_ordinal": 1, "path": None}
+CHILD = {"pid": "2", "origin": "Spawned"}
+
+
+def test_fork_copy_is_open_until_the_child_acts():
+    # The directory changes while the copy may still be under way: both sides and the spawn are in doubt.
+    assert flags(SPAWN | {"end_line": 4}, {"kind": "cwd", "operation": "chdir", "path": "/n", "line": 2, "end_line": 2}, CHILD | {"line": 5, "end_line": 5}) == [True, True, True]
+    # The child acted first, so the copy was complete.
+    assert flags(SPAWN | {"end_line": 4}, CHILD | {"line": 2, "end_line": 2}, {"kind": "cwd", "operation": "chdir", "path": "/n", "line": 3, "end_line": 3}, CHILD | {"line": 5, "end_line": 5}) == [False] * 4
+
+
+def test_split_halves_point_at_each_other():
+    shared = SPAWN | {"effect": "SharedFs"}
+    split = {"kind": "context", "operation": "unshare", "path": None, "effect": "SplitFs", "line": 2, "end_line": 6}
+    move = CHILD | {"kind": "cwd", "operation": "chdir", "path": "/n", "line": 3, "end_line": 3}
+    after = {"line": 7, "end_line": 7}
+    assert flags(shared, split, move, after, CHILD | after) == [False, True, True, True, True]
+    got = machine(shared, split | {"end_line": 2}, move, after, CHILD | after)
+    assert [g[0] for g in got] == ["/w", "/w", "/w", "/w", "/n"] and not any(g[1] for g in got)
+
+
+def test_namespaces_doubt_one_side_only():
+    assert flags(SPAWN | {"effect": "PrivateFsNamespaceUncertain"}, {}, CHILD) == [True, False, True]
+    assert flags({"kind": "context", "operation": "unshare", "path": None, "effect": "NoFsChange"}, {}) == [False, False]
+    assert flags(SPAWN, CHILD, {"kind": "context", "operation": "mount", "path": None}, CHILD) == [False, False, True, True]
+    assert flags(SPAWN, {"kind": "context", "operation": "chroot", "path": None}, CHILD, {}) == [False, True, False, True]
+
+
+def test_quoted_text(spark):
+    rows = [("a\"b\\\n\x01",)]
+    got = spark.createDataFrame(rows, "s string").select(text.quoted(F.col("s")).alias("q"), text.quoted_list(F.array("s", "s")).alias("l"), text.spelled_bytes(F.encode("s", "UTF-8")).alias("b")).first()
+    assert got.q == '"a\\"b\\\\\\n\\u{1}"' and got.l == f"[{got.q}, {got.q}]" and got.b == 'a"b\\x5c\\x0a\\x01'
+
+
 def test_context_stays_uncertain():
     got = machine({"kind": "context", "operation": "chroot", "path": None}, {"kind": "cwd", "operation": "chdir", "path": "/n"}, {})
-    assert [g[1] for g in got] == [False, True, True] and got[2][0] is None
+    assert [g[1] for g in got] == [True, True, True] and got[2][0] is None
 
 
 def test_saved_runs_read_back(spark, tmp_path):
