@@ -78,10 +78,20 @@ def signal_number(name: Column, realtime_min: int = 34) -> Column:
     return F.coalesce(table[name], F.when(name == "SIGRTMIN", realtime_min).when(name == "SIGRTMAX", 64), F.when(direct <= 32, direct + 32), F.when(above <= 64 - realtime_min, above + realtime_min))
 
 
+FRAME = r"^\+\+\+ (.*) \+\+\+$"
+
+
+def is_exit_spelling(text: Column) -> Column:
+    """Whether a saved exit text has one of the two framings, with a code up to 255."""
+    code = F.regexp_extract(text, r"^\+\+\+ exited with ([0-9]+) \+\+\+$", 1).try_cast("int")
+    return F.coalesce(code.between(0, 255), F.lit(False)) | F.coalesce(text.rlike(r"^\+\+\+ killed by [A-Za-z0-9_+\-() ]+ \+\+\+$"), F.lit(False))
+
+
 def exit_fields(spelling: Column) -> Column:
-    """Struct code, signal of a saved exit text; both null for legal but unknown names."""
-    code = F.regexp_extract(spelling, "^exited with ([0-9]+)$", 1).try_cast("int")
-    name = F.regexp_extract(F.regexp_replace(spelling, r" \(core dumped\)$", ""), "^killed by (.+)$", 1)
+    """Struct code, signal of an exit text, framed or not; both null for legal but unknown names."""
+    text = F.regexp_replace(spelling, FRAME, "$1")
+    code = F.regexp_extract(text, "^exited with ([0-9]+)$", 1).try_cast("int")
+    name = F.regexp_extract(F.regexp_replace(text, r" \(core dumped\)$", ""), "^killed by (.+)$", 1)
     return F.struct(F.when(code <= 255, code).alias("code"), signal_number(name).alias("signal"))
 
 

@@ -74,3 +74,12 @@ CONTEXT_REASONS = {
     "path": "path context unresolved; last observed CWD is not a verified current path; consult raw evidence",
     "argv": "execution arguments incomplete",
 }
+
+# Names of the provenance contracts.
+SELECTION_RULE = "first_successful_exec_evidence_order_v1"
+IDENTITY_CONTRACT = "task_generations_evidence_order_v1"
+
+# Sentences of the text report.
+UNRELIABLE = "RELIABILITY NOT ESTABLISHED: comparison cannot establish a complete, verified result."
+FOLDED_NOTE = " changes folded; all changes, paths and outcome sets remain in --json, with evidence samples capped per side (first example ranks, 1-based): "
+REPORT_END = "Observed changes are investigation clues, not proof of a root cause."

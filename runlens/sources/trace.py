@@ -22,6 +22,12 @@ EVENT = T.StructType([
     T.StructField("cwd_before", T.StringType()), T.StructField("context_uncertain", T.BooleanType()),
     T.StructField("task_generation", T.LongType()), T.StructField("child_generation", T.LongType()),
 ])
+REFERENCE = T.StructType([T.StructField("index", T.LongType()), T.StructField("evidence", EVIDENCE)])
+PROVENANCE = T.StructType([
+    T.StructField("schema_version", T.IntegerType()), T.StructField("selection_rule", T.StringType()), T.StructField("identity_contract", T.StringType()),
+    T.StructField("root", T.StructType([T.StructField("pid", T.StringType()), T.StructField("generation", T.LongType())])),
+    T.StructField("root_exec", REFERENCE), T.StructField("target_exit", REFERENCE),
+])
 METADATA = T.StructType([
     T.StructField("schema_version", T.IntegerType()), T.StructField("tool_version", T.StringType()), T.StructField("id", T.StringType()),
     T.StructField("name", T.StringType()), T.StructField("command", T.ArrayType(T.StringType())), T.StructField("cwd", T.StringType()),
@@ -29,6 +35,8 @@ METADATA = T.StructType([
     T.StructField("state", T.StringType()), T.StructField("exit_code", T.IntegerType()), T.StructField("signal", T.IntegerType()),
     T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("parsed_events", T.LongType()), T.StructField("raw_lines", T.LongType()),
     T.StructField("environment", T.MapType(T.StringType(), T.StringType())), T.StructField("completeness", T.StringType()),
+    T.StructField("collector_exit_code", T.IntegerType()), T.StructField("collector_signal", T.IntegerType()), T.StructField("target_exit_raw", T.StringType()),
+    T.StructField("evidence_contract", T.StringType()), T.StructField("target_provenance", PROVENANCE),
 ])
 
 
