@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions import decode
-from runlens.operators import compare, contracts, lifecycle, noise
+from runlens.operators import compare, contracts, lifecycle, noise, records, report
 from runlens.operators.context import context_state
 from runlens.sources.adapter import SQL, trace_events
 
@@ -318,4 +318,74 @@ def context_state_machine(spark, sf_dir):
     return context_state(trace_events(spark, sf_dir))
 
 
+CHANGED = """WITH o AS (SELECT o_orderkey AS pair_id, o_orderkey % 8 AS k FROM orders)
+SELECT pair_id, 0 AS seq, 'ExitStatus' AS change, '' AS subject, 'code=Some(0), signal=None' AS before, CASE k WHEN 1 THEN 'code=Some(2), signal=None' WHEN 2 THEN 'code=None, signal=Some(9)' ELSE 'code=None, signal=None, raw="+++ killed by SIGODD +++"' END AS after FROM o WHERE k IN (1,2,3)
+UNION ALL SELECT pair_id, 1, 'InitialWorkingDirectory', '', '/w', '/v' FROM o WHERE k=4
+UNION ALL SELECT pair_id, 2, 'CommandArguments', '', '["make"]', '["make", "a\\"b"]' FROM o WHERE k=5
+UNION ALL SELECT pair_id, 3, 'CaptureCompleteness', '', 'completed; complete_for_supported_events; 0 warnings', 'completed; partial; 1 warnings' FROM o WHERE k=6
+UNION ALL SELECT pair_id, 4, 'SelectedStartupEnvironment', 'A', 'value="1"', '(unset)' FROM o WHERE k=7"""
+
+
+def _run(k, changed):
+    """A run's metadata as a struct; with ``changed`` one fact differs by k."""
+    on = lambda i: (k == i) if changed else F.lit(False)
+    words = lambda *w: F.array(*map(F.lit, w))
+    return F.struct(
+        F.when(on(1), 2).when(on(2) | on(3), None).otherwise(0).alias("exit_code"), F.when(on(2), 9).alias("signal"), F.when(on(3), "+++ killed by SIGODD +++").otherwise("+++ exited with 0 +++").alias("target_exit_raw"),
+        F.when(on(4), "/v").otherwise("/w").alias("cwd"), F.when(on(5), words("make", 'a"b')).otherwise(words("make")).alias("command"), F.lit("completed").alias("state"),
+        F.when(on(6), "partial").otherwise("complete_for_supported_events").alias("completeness"), F.when(on(6), words("w")).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        F.create_map(F.lit("A"), F.when(~on(7), "1")).alias("environment"),
+    )
+
+
+@query(CHANGED, adapted=False)
+def metadata_changes(spark, sf_dir):
+    k = F.col("o_orderkey") % 8
+    pairs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("pair_id"), _run(k, False).alias("left"), _run(k, True).alias("right"))
+    rows = report.metadata_changes(pairs)
+    return rows.select("pair_id", "seq", "change", "subject", F.col("left")[0].alias("before"), F.col("right")[0].alias("after"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS run_id, o_orderkey % 7 AS k FROM orders) SELECT run_id, CASE k WHEN 1 THEN 'current exit code must be in 0..=255' WHEN 2 THEN 'ID is not one safe generated component' WHEN 3 THEN 'unknown capture state'
+WHEN 4 THEN 'partial metadata records no evidence limitation' WHEN 6 THEN 'historical metadata cannot claim trace-v1 facts' END AS error FROM o WHERE k IN (1,2,3,4,6)""", adapted=False)
+def metadata_contract(spark, sf_dir):
+    from runlens.sources.trace import PROVENANCE
+
+    k = F.col("o_orderkey") % 7
+    code = F.when(k == 1, 256).otherwise(0)
+    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("run_id"), F.when(k == 5, 2).otherwise(3).alias("schema_version"), F.lit("1").alias("tool_version"), F.when(k.isin(2, 5), "../x").otherwise("ab1-7").alias("id"), F.lit("n").alias("name"),
+        F.array(F.lit("make")).alias("command"), F.lit("/w").alias("cwd"), F.lit("b").alias("backend"), F.lit(2).alias("ended"), F.when(k == 3, "odd").otherwise("completed").alias("state"), code.alias("exit_code"), code.alias("collector_exit_code"),
+        F.lit(None).cast("int").alias("signal"), F.lit(None).cast("int").alias("collector_signal"), F.array().cast("array<string>").alias("warnings"), F.lit(1).alias("parsed_events"), F.lit(1).alias("raw_lines"),
+        F.create_map().cast("map<string,string>").alias("environment"), F.when(k == 4, "partial").otherwise("complete_for_supported_events").alias("completeness"), F.lit("+++ exited with 0 +++").alias("target_exit_raw"),
+        F.when(k == 6, "trace-v1").alias("evidence_contract"), F.lit(None).cast(PROVENANCE).alias("target_provenance"),
+    )
+    return runs.select("run_id", contracts.first_failure(records.metadata_rules()).alias("error")).where("error is not null")
+
+
+@query(CHANGES + f", mp AS (SELECT c.* FROM c JOIN ch ON c.pair_id=ch.pair_id AND c.kind=ch.kind AND c.operation=ch.operation AND c.path=ch.path) SELECT {KEYS}, side, outcome, count(*) AS event_count, string_agg(CAST(event_index AS VARCHAR), ',' ORDER BY event_index) AS indices FROM mp GROUP BY ALL")
+def outcome_references(spark, sf_dir):
+    rows = report.mapping(trace_events(spark, sf_dir))
+    return rows.withColumn("indices", F.array_join(F.transform("events", lambda e: e["index"].cast("string")), ",")).drop("events")
+
+
+@query()
+def report_text(spark, sf_dir):
+    """Text reports of all pairs, with run facts that are equal on both sides."""
+    from runlens.sources.trace import METADATA
+
+    e = trace_events(spark, sf_dir)
+    runs = e.groupBy("pair_id", "side", "run_id").agg(F.count(F.lit(1)).alias("parsed_events"), F.max("end_line").alias("raw_lines"))
+    given = {
+        "schema_version": F.lit(3), "tool_version": F.lit("1"), "id": F.concat(F.lit("a"), F.col("pair_id").cast("string"), F.when(F.col("side") == "left", "-1").otherwise("-2")), "name": F.col("run_id"),
+        "command": F.array(F.lit("make")), "cwd": F.lit("/w"), "started": F.lit(1), "ended": F.lit(2), "backend": F.lit("trace"), "state": F.lit("completed"), "exit_code": F.lit(0), "warnings": F.array().cast("array<string>"),
+        "parsed_events": F.col("parsed_events"), "raw_lines": F.col("raw_lines"), "environment": F.create_map().cast("map<string,string>"), "completeness": F.lit("complete_for_supported_events"), "collector_exit_code": F.lit(0), "target_exit_raw": F.lit("+++ exited with 0 +++"),
+    }
+    none = {"raw": "string", "raw_detail": "string", "load_error": "string", "load_kind": "string", "unsupported_schema": "int", "shape_error": "string", "manifest": "struct<schema_version:int,run_id:string,file:string,receipt:struct<status:string,bytes:bigint,logical_lines:bigint,sha256:string,reason:string>>"}
+    facts = {"n_events": F.col("parsed_events"), "max_line": F.col("raw_lines"), "has_non_v3": F.lit(True)} | {n: F.lit(False) for n in ("has_non_v2", "has_v3", "bad_order", "any_uncertain", "argv_missing", "incomplete")}
+    sides = runs.select("pair_id", "side", F.lit("verified").alias("storage"), F.lit("verified").alias("storage_detail"), *(F.lit(None).cast(t).alias(n) for n, t in none.items()), *(x.alias(n) for n, x in facts.items()), *(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METADATA.fields))
+    done, found = report.report(sides, e)
+    return report.text(done, found)
+
+
 ENTRY = diff_ranked
