@@ -100,23 +100,42 @@ def lineage(events: DataFrame) -> DataFrame:
 def stitched(lines: DataFrame) -> DataFrame:
     """Unfinished and resumed halves of calls joined into one observation.
 
-    ``lines``: run_id, line, pid, t (U unfinished, R resumed, X exit, C complete), op. Per
-    pid at most one call is pending: a second U replaces it, R always consumes it, X clears
-    it. So R pairs with the latest control row of its pid if that is a U of the same op.
+    ``lines``: run_id, line, pid, t (U unfinished, R resumed, X exit, C complete), op, and
+    optionally child (the pid that a successful spawn's C or R row introduces). Per pid at
+    most one call is pending: a second U replaces it, R always consumes it, X clears it, and
+    so does a spawn of that pid that was entered after it. Whether an interrupted spawn is
+    whole depends on earlier lines only, so repeating the pass until its spawns stay the same
+    settles all of them.
     """
+    if "child" not in lines.columns:
+        return _stitched(lines.withColumn("child", F.lit(None).cast("string"))).drop("child")
+    births, before = None, None
+    while True:
+        out = checkpointed(_stitched(lines, births))
+        births = out.where("child is not null and child <> pid and state in ('complete', 'stitched')").select("run_id", F.col("child").alias("pid"), F.col("end_line").alias("line"), F.col("line").alias("entered"))
+        now = births.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*births.columns))).first()
+        if now == before or not now[0]:
+            return out.drop("child")
+        before = now
+
+
+def _stitched(lines: DataFrame, births: DataFrame | None = None) -> DataFrame:
+    """One pass. A birth (run_id, pid, line, entered) acts on its pid if the last control row is a U before ``entered``."""
+    lines = lines.select("run_id", "line", "pid", "t", "op", "child")
     control = F.when(F.col("t").isin("U", "R", "X"), F.struct("t", "line", "op"))
     w = Window.partitionBy("run_id", "pid").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    if births is not None:
+        rows = lines.withColumn("entered", F.lit(None).cast("long")).unionByName(births.withColumn("t", F.lit("K")), allowMissingColumns=True).withColumn("last", F.last(control, ignorenulls=True).over(w))
+        lines = rows.where((F.col("t") != "K") | (F.col("last.t").eqNullSafe("U") & (F.col("last.line") < F.col("entered")))).drop("last", "entered")
+    control = F.when(F.col("t").isin("U", "R", "X", "K"), F.struct("t", "line", "op"))
     rows = lines.withColumn("last", F.last(control, ignorenulls=True).over(w))
     rows = rows.withColumn("ahead", F.first(control, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     pending = F.col("last.t").eqNullSafe("U")
-    state = (
-        F.when((F.col("t") == "R") & ~pending, "unmatched resumed")
-        .when((F.col("t") == "R") & (F.col("last.op") != F.col("op")), "resumed mismatch")
-        .when(F.col("t") == "R", "stitched")
-        .when((F.col("t") == "U") & F.col("ahead").isNull(), "unfinished at end")
-        .when((F.col("t") == "U") & (F.col("ahead.t") == "U"), "replaced")
-        .when((F.col("t") == "U") & (F.col("ahead.t") == "X"), "ended with exit")
-        .when(F.col("t") == "C", "complete")
-    )
+    resumed, unfinished = F.col("t") == "R", F.col("t") == "U"
+    ends = {"U": "replaced", "X": "ended with exit", "K": "predates spawn entry"}
+    state = F.when(resumed, F.when(~pending, "unmatched resumed").when(F.col("last.op") != F.col("op"), "resumed mismatch").otherwise("stitched"))
+    state = state.when(unfinished & F.col("ahead").isNull(), "unfinished at end").when(F.col("t") == "C", "complete")
+    for t, name in ends.items():
+        state = state.when(unfinished & (F.col("ahead.t") == t), name)
     start = F.when(state == "stitched", F.col("last.line")).otherwise(F.col("line"))
-    return rows.select("run_id", "pid", "op", start.alias("line"), F.col("line").alias("end_line"), state.alias("state")).where(F.col("state").isNotNull())
+    return rows.select("run_id", "pid", "op", start.alias("line"), F.col("line").alias("end_line"), state.alias("state"), "child").where(F.col("state").isNotNull())

@@ -6,6 +6,9 @@ the data; files above ``MAX_WHOLE`` bytes are refused rather than read in part.
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,3 +95,25 @@ def catalogue(spark: SparkSession, root: str) -> DataFrame:
         .otherwise("unverified")
     )
     return rows.select("run_id", "metadata.name", "metadata.state", "metadata.completeness", status.alias("storage")).orderBy("run_id")
+
+
+def record_ids(root: str) -> list[str]:
+    """Names of the record folders of a local store, in byte order."""
+    folder = os.path.join(root, "runs")
+    return sorted(os.listdir(folder), key=os.fsencode) if os.path.isdir(folder) else []
+
+
+def resolve(root: str, key: str) -> str:
+    """The one record whose id or name is ``key``; several or none are an error with their number."""
+    found = []
+    for run_id in record_ids(root):
+        try:
+            with open(os.path.join(root, "runs", run_id, "metadata.json"), "rb") as src:
+                name = json.load(src).get("name")
+        except (OSError, ValueError, AttributeError):
+            name = None
+        if key in (run_id, name):
+            found.append(run_id)
+    if len(found) != 1:
+        raise LookupError(f"{len(found)} records match {key!r}")
+    return found[0]

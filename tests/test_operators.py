@@ -3,12 +3,13 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions import decode, text
 from runlens.operators import lifecycle
 from runlens.operators.context import resolve
-from runlens.sources import store, trace
+from runlens.sources import deletion, store, trace
 from runlens.streaming.stitch import _step
 
 TRACE = b"""101 openat(AT_FDCWD, "\\x2f\\x61", O_RDONLY) = 3
@@ -46,6 +47,37 @@ def test_stitch_pairs_halves(spark, tmp_path):
     assert got == {("101", 1, 1, "complete"), ("101", 2, 4, "stitched"), ("102", 3, 3, "complete"), ("102", 8, 8, "unfinished at end")}
 
 
+def test_spawns_clear_calls_from_before_their_entry(spark):
+    lines = [(1, "2", "U", "openat", None), (2, "1", "C", "fork", "2"), (3, "2", "R", "openat", None)]  # the pid was in use before
+    lines += [(11, "5", "U", "clone", None), (12, "6", "U", "openat", None), (13, "5", "R", "clone", "6"), (14, "6", "R", "openat", None)]  # the child runs before its parent returns
+    lines += [(21, "8", "U", "clone", None), (22, "9", "C", "fork", "8"), (23, "7", "U", "openat", None), (24, "8", "R", "clone", "7"), (25, "7", "R", "openat", None)]  # a cleared spawn introduces nobody
+    df = spark.createDataFrame([("r", *x) for x in lines], "run_id string, line long, pid string, t string, op string, child string")
+    got = {(r.pid, r.line, r.end_line): r.state for r in lifecycle.stitched(df).collect()}
+    assert got[("2", 1, 1)] == "predates spawn entry" and got[("2", 3, 3)] == "unmatched resumed"
+    assert got[("5", 11, 13)] == got[("6", 12, 14)] == "stitched"
+    assert got[("8", 21, 21)] == "predates spawn entry" and got[("8", 24, 24)] == "unmatched resumed" and got[("7", 23, 25)] == "stitched"
+
+
+def test_deleted_records_come_back(spark, tmp_path):
+    root = str(tmp_path)
+    for run_id, name in (("a1-1", "one"), ("a2-2", "two")):
+        store.save_run(root, run_id, {"schema_version": 3, "id": run_id, "name": name, "state": "completed"}, [])
+    first, second = deletion.isolate(root, "one"), deletion.isolate(root, "a2-2")
+    assert trace.record_ids(root) == []
+    assert {(d["id"], d["state"]) for d in deletion.deleted(root)} == {("a1-1", "isolated"), ("a2-2", "isolated")}
+    assert deletion.restore(root, first) == "a1-1" and trace.record_ids(root) == ["a1-1"]
+    store.save_run(root, "a3-3", {"schema_version": 3, "id": "a3-3", "name": "two", "state": "completed"}, [])
+    with pytest.raises(deletion.Refused, match="two"):
+        deletion.restore(root, second)  # its name is taken
+    assert deletion.purge(root, second) == "a2-2" and deletion.deleted(root) == []
+    with pytest.raises(deletion.Refused):
+        deletion.purge(root, "../runs")
+    (tmp_path / "deleted" / "a-1").mkdir()
+    assert [d["state"] for d in deletion.deleted(root)] == ["damaged"]
+    rows = deletion.deleted_table(spark, root).collect()
+    assert [(r.ticket, r.state) for r in rows] == [("a-1", "damaged")]
+
+
 class State:
     exists, get = False, None
 
