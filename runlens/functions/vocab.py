@@ -83,3 +83,5 @@ IDENTITY_CONTRACT = "task_generations_evidence_order_v1"
 UNRELIABLE = "RELIABILITY NOT ESTABLISHED: comparison cannot establish a complete, verified result."
 FOLDED_NOTE = " changes folded; all changes, paths and outcome sets remain in --json, with evidence samples capped per side (first example ranks, 1-based): "
 REPORT_END = "Observed changes are investigation clues, not proof of a root cause."
+PATH_NOTE = "Path semantics: absolute spellings are recorded syscall/strace observations, not physical identity guarantees; relative paths stay uncertain. Older records may contain historical CWD-derived spellings; consult raw evidence."
+CWD_NOTE = "  Last observed CWD (context only, not a current physical path): "

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.text import optional, quoted, quoted_list
-from runlens.functions.vocab import ALWAYS_SHOWN, CATEGORIES, DETAIL_FAILED, DETAIL_TEMPORARY, FOLDED_NOTE, REPORT_END, UNRELIABLE
+from runlens.functions.vocab import ALWAYS_SHOWN, CATEGORIES, CWD_NOTE, DETAIL_FAILED, DETAIL_TEMPORARY, FOLDED_NOTE, PATH_NOTE, REPORT_END, UNRELIABLE
 from runlens.session import checkpointed
 
 from . import compare, records
@@ -232,3 +232,47 @@ def mapping(events: DataFrame) -> DataFrame:
     rows = compare.comparable(events).join(compare.changes(events).select(*compare.KEY), compare.KEY)
     place = F.struct(c("event_index").alias("index"), F.struct(F.lit("raw/trace.log").alias("file"), "line", "end_line").alias("evidence"))
     return rows.groupBy(*compare.KEY, "side", "outcome").agg(F.count(F.lit(1)).alias("event_count"), F.array_sort(F.collect_list(place)).alias("events"))
+
+
+def show_lines(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """One record as text: run_id, line_no, line.
+
+    ``runs``: run_id, the metadata fields, storage, storage_detail, raw, raw_detail.
+    ``events``: run_id, event_index and the saved event's fields, with file, line, end_line.
+    """
+    join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    told = lambda name, missing: F.coalesce(c(name), F.lit(missing))
+    n = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = runs.join(n, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    p = c("target_provenance")
+    top = [
+        join("Storage integrity: ", c("storage"), " — ", c("storage_detail")), join("Raw evidence integrity: ", c("raw"), " — ", c("raw_detail")),
+        join("Target provenance: PID ", p["root"]["pid"], " generation ", p["root"]["generation"], "; exec event ", p["root_exec"]["index"], ", exit event ", p["target_exit"]["index"], "; rule ", p["selection_rule"]),
+        join(c("name"), " (", c("id"), ")"), join("State: ", c("state"), " / ", told("completeness", "legacy/unknown")), join("Command: ", quoted_list(c("command"))), join("Initial cwd: ", c("cwd")),
+        join("Exit: ", optional(c("exit_code")), "; signal: ", optional(c("signal"))), join("Events: ", c("n")),
+    ]
+    env = F.transform(F.array_sort(F.map_entries("environment")), lambda e: F.concat(F.lit("env "), e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("(unset)"))))
+    none = F.array().cast("array<string>")
+    head = F.concat(F.array_compact(F.array(*top)), F.coalesce(env, none), F.array(F.lit(PATH_NOTE)))
+    placed = c("kind").isin("file", "exec", "cwd")
+    doubt = F.coalesce("context_uncertain", F.lit(False)) | c("path").startswith("relative:")
+    context = F.when(c("path").isNull(), "unresolved").when(doubt, "uncertain / relative observation").otherwise("recorded absolute spelling; verify syscall evidence")
+    one = [
+        F.when(placed, join(CWD_NOTE, told("cwd_before", "unknown"))), F.when(placed, join("  Path context: ", context)),
+        join(c("pid"), " ", c("operation"), " ", told("path", ""), " => ", c("outcome"), " [runs/", c("id"), "/", c("file"), ":", c("line"), "-", c("end_line"), "]"),
+        join("  Trace-local generation: ", c("task_generation"), "; spawned child generation: ", optional(c("child_generation"))),
+    ]
+    told_events = events.join(runs.select("run_id", "id"), "run_id")
+    spread = lambda df, part, place, items: df.select("run_id", F.lit(part).alias("part"), place.cast("long").alias("place"), F.posexplode(items).alias("at", "text"))
+    argv = F.array_compact(F.array(join("exec arguments (PID ", c("pid"), "): ", quoted_list(c("argv")))))
+    end = F.transform(F.coalesce("warnings", none), lambda w: F.concat(F.lit("warning: "), w))
+    lines = spread(rows, 0, F.lit(0), head).union(spread(told_events, 1, c("event_index"), F.array_compact(F.array(*one)))).union(spread(events, 2, c("event_index"), argv)).union(spread(rows, 3, F.lit(0), end))
+    order = Window.partitionBy("run_id").orderBy("part", "place", "at")
+    return lines.select("run_id", F.row_number().over(order).cast("long").alias("line_no"), c("text").alias("line"))
+
+
+def recorded_lines(results: DataFrame) -> DataFrame:
+    """The summary after a recording: run_id, at, line. ``results``: run_id, name, state, event_count, warnings, evidence_dir."""
+    first = F.concat(F.lit("Recorded "), quoted(c("name")), F.lit(": "), "run_id", F.lit(" ("), "state", F.lit(", "), c("event_count").cast("string"), F.lit(" events, "), F.size("warnings").cast("string"), F.lit(" warnings)"))
+    items = F.concat(F.array(first, F.concat(F.lit("Evidence: "), "evidence_dir")), F.transform("warnings", lambda w: F.concat(F.lit("warning: "), w)))
+    return results.select("run_id", F.posexplode(items).alias("at", "line"))

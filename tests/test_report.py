@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.operators import records, report
@@ -174,3 +175,19 @@ def test_list_lines(spark):
 def test_run_facts(spark):
     got = records.run_facts(spark.createDataFrame([EVENT, EVENT | {"event_index": 1, "path": "x", "line": 4, "end_line": 5}], EVENT_SCHEMA)).first()
     assert (got.n_events, got.max_line, got.incomplete, got.has_non_v2) == (2, 5, True, False) and "relative" in got.shape_error
+
+
+def test_show_lines(spark):
+    run = sides(spark, {"environment": {"B": None, "A": "1"}, "completeness": "partial", "warnings": ["w"]}).withColumn("run_id", F.lit("r"))
+    event = EVENT | {"cwd_before": "/w"}
+    seen = spark.createDataFrame([event, event | {"event_index": 1, "kind": "exec", "operation": "execve", "argv": ["make", "x y"], "path": "relative:m [cwd unresolved]", "cwd_before": None}], EVENT_SCHEMA + ", cwd_before string")
+    got = [r.line for r in report.show_lines(run, seen).orderBy("line_no").collect()]
+    assert got[:8] == ["Storage integrity: verified — ok", "a (abc001-101)", "State: completed / partial", 'Command: ["make"]', "Initial cwd: /w", "Exit: Some(0); signal: None", "Events: 2", "env A: 1"]
+    assert got[8] == "env B: (unset)" and got[9].startswith("Path semantics: ")
+    assert got[10:13] == ["  Last observed CWD (context only, not a current physical path): /w", "  Path context: recorded absolute spelling; verify syscall evidence", "1 openat /a => success [runs/abc001-101/raw/trace.log:1-1]"]
+    assert got[13].endswith("unknown") and got[14].endswith("uncertain / relative observation") and got[16:] == ['exec arguments (PID 1): ["make", "x y"]', "warning: w"]
+
+
+def test_recorded_lines(spark):
+    df = spark.createDataFrame([("a1-1", 'n"', "completed", 3, ["w"], "/e")], "run_id string, name string, state string, event_count long, warnings array<string>, evidence_dir string")
+    assert [r.line for r in report.recorded_lines(df).orderBy("at").collect()] == ['Recorded "n\\"": a1-1 (completed, 3 events, 1 warnings)', "Evidence: /e", "warning: w"]
