@@ -1,11 +1,15 @@
-"""Operator 6: benchmark decontamination by rare n-gram seeds and local alignment.
-
-Seeds are word 3-grams of the benchmark items. One pass counts in how many documents
-each of them occurs; of every ``WINDOW`` neighbouring grams of an item the rarest
-become seeds, so a shared run of ``N + WINDOW - 1`` words always holds one, while
-common phrases hold none. A second pass finds seeds in each document, opens a window
-of the item's length around their diagonals and scores it by Smith-Waterman over words
-(match 2, else -1). A pair counts if the score reaches ``MIN_SCORE`` of a full match.
+"""Operator 6: benchmark decontamination by rare word pairs as seeds and local alignment.
+
+A pair of document and item counts if Smith-Waterman over words (match 2, else -1)
+reaches ``MIN_SCORE`` of a full match. No such pair is lost before the alignment: if M
+matches and E errors score 2M - E >= S, the M - 1 steps from match to match hold at most
+2M - S errors, so 2 x (steps without error) + (steps with one) >= S - 2. Such a step
+takes a word and the next or next but one of the item to a word and the next or next but
+one of the document. Seeds are these word pairs, from the places of an item where
+they are rarest in the documents (one pass counts); at least (S - 1) // 2 places must
+be hit, so all places but (S - 1) // 2 - 1 of the most common are enough. A second pass
+finds seeds in each document, opens a window that holds every alignment through them,
+and aligns it if its pairs can reach S - 2.
 
 Both passes are map-only: the benchmark travels to the documents. It is read in blocks
 of at most ``BLOCK_BYTES`` of text (checked by its summed size), one pass pair a block,
@@ -22,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import claim, session
 
-N, WINDOW = 3, 3
+N = 3
 MATCH, MISS, GAP = 2, -1, -1
 MIN_SCORE = 0.5
-SLACK = 8
 BLOCK_BYTES = 4 << 20
 _WORD = re.compile(r"\w+")
 
@@ -73,8 +77,13 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
+def needed(n: int) -> int:
+    """Score that an item of ``n`` words has to reach."""
+    return math.ceil(MIN_SCORE * MATCH * n)
+
+
 class Block:
-    """Benchmark items of one block with their vocabulary and grams."""
+    """Benchmark items of one block with their vocabulary and word pairs."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words = [], []
@@ -86,76 +95,88 @@ class Block:
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
         self.base = len(self.vocabulary) + 1
         assert self.base < 1 << 20, "a block's vocabulary is bounded by its bytes"
-        codes = [self.codes(w) for w in self.words]
-        self.grams = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-        self.item_grams = [np.searchsorted(self.grams, c) for c in codes]
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
-
-    def codes(self, ids: np.ndarray) -> np.ndarray:
-        """The number of each N-gram; 0 where a word is outside the vocabulary."""
-        n = len(ids) - N + 1
-        if n < 1:
-            return np.zeros(0, np.int64)
-        code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(N):
-            code = code * self.base + ids[k : k + n]
-            known &= ids[k : k + n] > 0
-        return np.where(known, code, 0)
+        codes = [(self.codes(w, 1), self.codes(w, 2)) for w in self.words]
+        self.grams = np.unique(np.concatenate([c for both in codes for c in both])) if codes else np.zeros(0, np.int64)
+        #: Pairs of neighbours and of next neighbours, by the place of their first word.
+        self.item_grams = [tuple(np.searchsorted(self.grams, c) for c in both) for both in codes]
+
+    def codes(self, ids: np.ndarray, step: int) -> np.ndarray:
+        """The number of each pair of words ``step`` apart; 0 where a word is outside the vocabulary."""
+        first, second = ids[:-step], ids[step:]
+        return np.where((first > 0) & (second > 0), first * self.base + second, 0)
 
     def numbers(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in word_list(text)], np.int64)
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of item grams in a text and the grams' indexes."""
-        codes = self.codes(ids)
-        at = np.flatnonzero(codes)
-        if not len(at) or not len(self.grams):
-            return at[:0], at[:0]
-        index = np.searchsorted(self.grams, codes[at])
-        same = self.grams[np.minimum(index, len(self.grams) - 1)] == codes[at]
-        return at[same], index[same]
+        words = word_list(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of item pairs in a text, the pairs' indexes, and whether the text's words are neighbours."""
+        found = []
+        for step in (1, 2):
+            codes = self.codes(ids, step)
+            at = np.flatnonzero(codes)
+            index = np.searchsorted(self.grams, codes[at])
+            same = self.grams[np.minimum(index, len(self.grams) - 1)] == codes[at] if len(at) else np.zeros(0, bool)
+            found.append((at[same], index[same], np.full(int(same.sum()), step == 1)))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def choose(self, counts: np.ndarray) -> None:
-        """Seeds: of every WINDOW neighbouring grams of an item the rarest, the first of equals."""
-        seeds = defaultdict(set)
-        for item, grams in enumerate(self.item_grams):
-            for a in range(max(1, len(grams) - WINDOW + 1)):
-                k = min(range(a, min(a + WINDOW, len(grams))), key=lambda i: (counts[grams[i]], i))
-                seeds[int(grams[k])].add((item, k))
-        self.seeds = {g: sorted(x) for g, x in seeds.items()}
-        self.is_seed = np.zeros(len(self.grams), bool)
-        self.is_seed[list(self.seeds)] = True
+        """Seeds: the pairs of an item's rarest places, so many that an alignment that counts hits one."""
+        gram, item, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, (near, far) in enumerate(self.item_grams):
+            common = counts[near]
+            common[:-1] += counts[far]
+            must = (needed(len(self.words[i])) - 1) // 2
+            rare = np.argsort(common, kind="stable")[: len(near) - must + 1]
+            inner = rare[rare < len(far)]
+            gram += [near[rare], far[inner]]
+            place += [rare, inner]
+            item.append(np.full(len(rare) + len(inner), i))
+        gram, item, place = np.concatenate(gram), np.concatenate(item), np.concatenate(place)
+        order = np.argsort(gram, kind="stable")
+        self.seed_item, self.seed_place = item[order], place[order]
+        self.seed_start = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
 
     def matches(self, text: str | None) -> list[tuple]:
         """(item_id, score, first word, last word) of each item that the text holds."""
         ids = self.numbers(text)
-        at, grams = self.hits(ids)
-        seeded = self.is_seed[grams] if len(grams) else np.zeros(0, bool)
+        at, grams, near = self.hits(ids)
+        first, count = self.seed_start[grams], self.seed_start[grams + 1] - self.seed_start[grams]
+        if not count.sum():
+            return []
+        seeds = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        items, starts = self.seed_item[seeds], np.repeat(at, count) - self.seed_place[seeds]
+        order = np.lexsort((starts, items))
         windows = defaultdict(list)
-        for p, g in zip(at[seeded].tolist(), grams[seeded].tolist()):
-            for item, k in self.seeds[g]:
-                windows[item].append((p - k, p - k + len(self.words[item])))
+        for item, start in zip(items[order].tolist(), starts[order].tolist()):
+            n = len(self.words[item])
+            slack = MATCH * n - needed(n)  # an alignment that counts has no more errors
+            a, b = max(0, start - slack), min(len(ids), start + n + slack)
+            merged = windows[item]
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
         out = []
-        for item, spans in sorted(windows.items()):
-            words = self.words[item]
-            slack, need = SLACK + len(words) // 4, math.ceil(MIN_SCORE * MATCH * len(words))
-            best = (0, 0, -1)
-            merged: list[list[int]] = []
-            for a, b in sorted(spans):
-                a, b = max(0, a - slack), min(len(ids), b + slack)
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
+        for item, merged in windows.items():
+            words, need, best = self.words[item], needed(len(self.words[item])), (0, 0, -1)
             for a, b in merged:
-                if MATCH * np.isin(words, ids[a:b]).sum() >= need:  # no alignment can match more words
+                if self.reaches(item, need, a, b, at, grams, near):
                     score, first, last = align(words, ids[a:b])
                     best = max(best, (score, a + first, a + last), key=lambda x: x[0])
             if best[0] >= need:
                 out.append((self.ids[item], best[0] / (MATCH * len(words)), best[1], best[2]))
         return out
 
+    def reaches(self, item: int, need: int, a: int, b: int, at: np.ndarray, grams: np.ndarray, near: np.ndarray) -> bool:
+        """Whether the pairs between two places of a text leave the needed score open."""
+        inside = (at >= a) & (at < b)
+        pairs, (mine, far) = grams[inside], self.item_grams[item]
+        weight = np.isin(mine, pairs).astype(np.int64)
+        weight[:-1] |= np.isin(far, pairs)
+        weight[np.isin(mine, grams[inside & near])] = 2
+        return int(weight.sum()) >= need - 2
+
 
 def _counts(shared):
     def run(batches):
@@ -164,7 +185,7 @@ def _counts(shared):
         counts = np.zeros(len(block.grams), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                _, grams = block.hits(block.numbers(text))
+                grams = block.hits(block.numbers(text))[1]
                 if len(grams):
                     counts[np.unique(grams)] += 1
         used = np.flatnonzero(counts)

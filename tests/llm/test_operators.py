@@ -267,6 +267,23 @@ def test_decontamination(spark, docs, benchmark):
     assert left == ({r[0] for r in ROWS} | {900, 901}) - {d for d, _ in got}
 
 
+def test_decontamination_finds_every_pair_over_the_score(spark):
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(300)]
+    items = [[rng.choice(pool) for _ in range(n)] for n in (3, 4, 5, 15, 24, 33, 40, 59)]
+    edits = [lambda w, every=every: [f"new{k}" if k % every == every - 1 else x for k, x in enumerate(w)] for every in (3, 4, 5)]
+    edits += [lambda w, every=every: [x for k, x in enumerate(w) if k % every != every - 1] for every in (3, 4)]
+    edits += [lambda w: [y for k, x in enumerate(w) for y in (x, f"new{k}")], lambda w: [x if rng.random() < 0.7 else "new" for x in w]]
+    texts = [[rng.choice(pool) for _ in range(60)] + edit(item) + [rng.choice(pool) for _ in range(60)] for item in items for edit in edits]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    number = defaultdict(lambda: len(number) + 1)
+    coded = [np.array([number[w] for w in t]) for t in items + texts]
+    want = {(d, i): s / (2 * len(items[i])) for d, t in enumerate(coded[len(items) :]) for i, w in enumerate(coded[: len(items)]) if (s := decontamination.align(w, t)[0]) >= len(w)}
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs, table).collect()}
+    assert got == want and all((7 * i + e, i) in got for i in range(3, 8) for e in (0, 1, 2, 3, 4, 5))
+
+
 def test_alignment_matches_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(60):
