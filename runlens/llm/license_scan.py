@@ -7,17 +7,25 @@ increasing subsequence splits both into gaps, which are aligned the same way, af
 common heads and tails are taken; gaps without unique words are filled by their common
 heads and tails only. Coverage is the share of the template's words that are aligned.
 
-The templates are a fixed list, so they travel to the documents: the scan is map-only
-and its cost follows the words, however many documents hold the same notice.
+A window counts only if its aligned span holds the template's ``IDENTITY``: phrases that
+tell it from its relatives (name, variant, version, distinguishing clause). Of spans
+that overlap by more than half of the smaller one, the one with more aligned words wins
+(the shorter template of equals), so a header is not reported again as the notice inside it, nor BSD-3-Clause as
+BSD-2-Clause.
+
+The templates are a fixed list (names, notices, headers, and the whole texts of
+``license_texts``), so they travel to the documents: the scan is map-only and its cost
+follows the words, however many documents hold the same notice.
 
 Defined cases: words are runs of letters, digits and dots inside numbers, in lower case;
-null or empty text gives no row; a template below ``MIN_COVERAGE`` gives no row; each
-(row, template) pair gives one row, of its best window, the first of equals; repeated
-rows give repeated results; an empty table gives no rows; other columns are not read.
+null or empty text gives no row; a template below ``MIN_COVERAGE`` or without its
+identity gives no row; each (row, template) pair gives one row, of its best window that
+no other template wins, the first of equals; repeated rows give repeated results; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -27,21 +35,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session
+from .license_texts import TEXTS
 
 MIN_COVERAGE = 0.8
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
+#: From this many words on, a template is compared with the word counts of the whole text first.
+LONG = 400
+
 #: Short notices and headers of public licenses.
-TEMPLATES = {
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-4-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+NOTICES |= {
+    f"{name}-header": NOTICES["GPL-3.0-header"].replace("General Public License", full).replace("version 3", f"version {version}")
+    for name, full, version in (
+        ("GPL-2.0", "General Public License", "2"),
+        ("LGPL-2.0", "Library General Public License", "2"),
+        ("LGPL-2.1", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "Lesser General Public License", "3"),
+        ("AGPL-3.0", "Affero General Public License", "3"),
+    )
+}
+
+_CC = {"": "", "-SA": "-ShareAlike", "-NC": "-NonCommercial", "-ND": "-NoDerivatives", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}
+
+#: Licenses by name: the first name is the template, after "under the"; any of them is its identity.
+NAMES = {
+    "0BSD": ["BSD Zero Clause License", "Zero Clause BSD License"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License, version 3.0", "GNU Affero General Public License v3"],
+    "Apache-2.0-name": ["Apache License, Version 2.0", "Apache License 2.0"],
+    "Artistic-2.0": ["Artistic License 2.0"],
+    "BSD-2-Clause-name": ["BSD 2-Clause License"],
+    "BSD-3-Clause-name": ["BSD 3-Clause License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "EPL-1.0": ["Eclipse Public License, Version 1.0", "Eclipse Public License v1.0", "Eclipse Public License 1.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License v2.0", "Eclipse Public License v. 2.0", "Eclipse Public License 2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License, version 2.0", "GNU General Public License v2"],
+    "GPL-3.0-name": ["GNU General Public License, version 3", "GNU General Public License, version 3.0", "GNU General Public License v3"],
+    "ISC": ["ISC License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License, version 3.0", "GNU Lesser General Public License v3"],
+    "MIT-name": ["MIT License"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License"],
+}
+NOTICES |= {name: names[0] if name == "Unlicense" else f"under the {names[0]}" for name, names in NAMES.items()}
+for _short, _long in _CC.items():
+    for _version, _end in (("4.0", "International"), ("3.0", "Unported")):
+        _name = f"CC-BY{_short}-{_version}"
+        NAMES[f"{_name}-short"] = [f"CC BY{_short} {_version}", f"CC-BY{_short}-{_version}"]
+        NAMES[f"{_name}-name"] = [f"Creative Commons Attribution{_long} {_version}"]
+        NOTICES[f"{_name}-short"] = f"under CC BY{_short} {_version}"
+        NOTICES[f"{_name}-name"] = f"Creative Commons Attribution{_long} {_version} {_end} License"
+
+TEMPLATES = NOTICES | TEXTS
+
+#: Phrases that an aligned span has to hold, each as a list of alternatives.
+IDENTITY = {name: [names] for name, names in NAMES.items()} | {
+    "Apache-2.0-header": [["Apache License, Version 2.0"]],
+    "Apache-2.0-text": [["Apache License, Version 2.0"]],
+    "Artistic-1.0-Perl-text": [["Artistic License"]],
+    "BSD-3-Clause": [["endorse or promote products"]],
+    "BSD-4-Clause": [["endorse or promote products"], ["advertising materials mentioning features"]],
+    "BSL-1.0-text": [["any person or organization obtaining a copy"]],
+    "CC0-1.0-text": [["CC0 1.0 Universal"]],
+    "GFDL-1.2-text": [["Version 1.2, November 2002"]],
+    "GFDL-1.3-text": [["Version 1.3, 3 November 2008"]],
+    "GPL-1.0-text": [["GNU General Public License Version 1, February 1989"]],
+    "GPL-2.0-header": [["GNU General Public License as published"], ["version 2 of the License"]],
+    "GPL-2.0-text": [["GNU General Public License Version 2, June 1991"]],
+    "GPL-3.0-header": [["GNU General Public License as published"], ["version 3 of the License"]],
+    "GPL-3.0-text": [["GNU General Public License Version 3, 29 June 2007"]],
+    "AGPL-3.0-header": [["GNU Affero General Public License as published"], ["version 3 of the License"]],
+    "ISC-text": [["provided that the above copyright notice"]],
+    "LGPL-2.0-header": [["GNU Library General Public License as published"], ["version 2 of the License"]],
+    "LGPL-2.0-text": [["GNU Library General Public License Version 2, June 1991"]],
+    "LGPL-2.1-header": [["GNU Lesser General Public License as published"], ["version 2.1 of the License"]],
+    "LGPL-2.1-text": [["GNU Lesser General Public License Version 2.1, February 1999"]],
+    "LGPL-3.0-header": [["GNU Lesser General Public License as published"], ["version 3 of the License"]],
+    "LGPL-3.0-text": [["GNU Lesser General Public License Version 3, 29 June 2007"]],
+    "MIT-text": [["obtaining a copy of this software and associated documentation files"]],
+    "MPL-1.1-text": [["Mozilla Public License Version 1.1"]],
+    "MPL-2.0-header": [["Mozilla Public License, v. 2.0"]],
+    "MPL-2.0-text": [["Mozilla Public License Version 2.0"]],
 }
 
 
@@ -91,40 +181,68 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _phrase(words: list[str]) -> str:
+    return f" {' '.join(words)} "
+
+
 class Scanner:
     """Templates with the words that open their windows."""
 
     def __init__(self, templates: dict[str, str]):
         self.templates = {name: word_list(text) for name, text in templates.items()}
         spread = Counter(w for words in self.templates.values() for w in set(words))
+        self.counts = {name: Counter(words) for name, words in self.templates.items()}
+        self.need = {name: int(-(-MIN_COVERAGE * len(words) // 1)) for name, words in self.templates.items()}
+        self.identity = {name: [[_phrase(word_list(x)) for x in any_of] for any_of in IDENTITY.get(name, ())] for name in self.templates}
+        self.long = [name for name, words in self.templates.items() if len(words) >= LONG]
         self.openers: dict[str, list[str]] = {}
+        self.long_openers: dict[str, set[str]] = {}
         for name, words in self.templates.items():
             # A window with coverage MIN_COVERAGE misses fewer words than this, so it holds one of so many rare words.
-            need = len(words) - int(-(-MIN_COVERAGE * len(words) // 1)) + 1
-            counts, taken = Counter(words), 0
+            need = len(words) - self.need[name] + 1
+            counts, taken = self.counts[name], 0
             for w in sorted(counts, key=lambda w: (spread[w], -len(w), w)):
                 if taken >= need:
                     break
-                self.openers.setdefault(w, []).append(name)
+                if name in self.long:
+                    self.long_openers.setdefault(name, set()).add(w)
+                else:
+                    self.openers.setdefault(w, []).append(name)
                 taken += counts[w]
         self.known = set(self.openers)
+        self.least = min((self.need[name] for name in self.long), default=math.inf)
+
+    def places(self, words: list[str]) -> dict[str, list[int]]:
+        """Places of opening words, by template."""
+        places: dict[str, list[int]] = {}
+        if not self.known.isdisjoint(words):
+            for k, w in enumerate(words):
+                if w in self.known:
+                    for name in self.openers[w]:
+                        places.setdefault(name, []).append(k)
+        if len(words) >= self.least:
+            counts = Counter(words)
+            for name in self.long:
+                if len(words) >= self.need[name] and (counts & self.counts[name]).total() >= self.need[name]:
+                    places[name] = [k for k, w in enumerate(words) if w in self.long_openers[name]]
+        return places
+
+    def accepts(self, name: str, words: list[str], got: list[tuple[int, int]]) -> bool:
+        """Whether an alignment of a template covers enough and holds its identity."""
+        if len(got) < self.need[name]:
+            return False
+        span = _phrase(words[got[0][0] : got[-1][0] + 1])
+        return all(any(x in span for x in any_of) for any_of in self.identity[name])
 
     def scan(self, text: str | None) -> list[tuple]:
         """(license, coverage, matched words, first word, last word)."""
         words = word_list(text)
-        places: dict[str, list[int]] = {}
-        if self.known.isdisjoint(words):
-            return []
-        for k, w in enumerate(words):
-            if w in self.known:
-                for name in self.openers[w]:
-                    places.setdefault(name, []).append(k)
-        out = []
-        for name in sorted(places):
-            template, best = self.templates[name], (0, 0, 0)
-            need, reach = -(-MIN_COVERAGE * len(self.templates[name]) // 1), len(template) + len(template) // 4
+        found = []
+        for name, at in self.places(words).items():
+            template = self.templates[name]
+            need, reach = self.need[name], len(template) + len(template) // 4
             merged: list[list[int]] = []
-            for k in places[name]:
+            for k in at:
                 if merged and k - reach <= merged[-1][1]:
                     merged[-1][1] = min(len(words), k + reach + 1)
                 else:
@@ -133,14 +251,19 @@ class Scanner:
                 # Long runs of windows are cut so that a word repeated in the next notice stays unique in its own.
                 for start in range(a, max(a + 1, b - reach), max(1, reach // 2)):
                     part = words[start : min(b, start + 2 * reach)]
-                    if sum((Counter(part) & Counter(template)).values()) < need:
+                    if (Counter(part) & self.counts[name]).total() < need:
                         continue
                     got = align(part, template)
-                    if len(got) > best[0]:
-                        best = (len(got), start + got[0][0], start + got[-1][0])
-            if best[0] >= need:
-                out.append((name, best[0] / len(template), best[0], best[1], best[2]))
-        return out
+                    if self.accepts(name, part, got):
+                        found.append((-len(got), len(template), start + got[0][0], name, start + got[-1][0]))
+        won: list[tuple[str, int, int]] = []
+        out = {}
+        for n, _, first, name, last in sorted(found):
+            if any(other != name and 2 * (min(last, b) - max(first, a) + 1) > min(last - first, b - a) + 1 for other, a, b in won):
+                continue
+            won.append((name, first, last))
+            out.setdefault(name, (name, -n / len(self.templates[name]), -n, first, last))
+        return [out[name] for name in sorted(out)]
 
 
 def _scan(templates: dict[str, str]):

@@ -391,6 +391,18 @@ def test_license_scan(spark):
     assert got[0, "GPL-3.0"].coverage == 1.0 and got[0, "GPL-3.0"].first_word == 80 and got[2, "MIT-text"].coverage > 0.95
 
 
+def test_license_scan_tells_relatives_apart():
+    t = license_scan.TEMPLATES
+    scanner = license_scan.Scanner(t)
+    for name, text in t.items():
+        got = {hit[0]: hit[1] for hit in scanner.scan("some words before " + text + " and after it")}
+        assert got == {name: 1.0}, (name, got)
+    assert {hit[0] for hit in scanner.scan(t["BSD-3-Clause"].replace("the copyright holder", "Facebook"))} == {"BSD-3-Clause"}
+    assert {hit[0] for hit in scanner.scan(t["BSD-2-Clause"] + " x" * 200 + t["BSD-3-Clause"])} == {"BSD-2-Clause", "BSD-3-Clause"}
+    assert {hit[0] for hit in scanner.scan(t["AGPL-3.0-header"].replace("version 3", "version 4"))} == set()
+    assert {hit[0] for hit in scanner.scan("Licensed under the Mozilla Public License, Version 2.0.")} == {"MPL-2.0"}
+
+
 def test_longest_increasing_subsequence():
     assert [[5, 1, 4, 2, 3, 9][i] for i in license_scan.increasing([5, 1, 4, 2, 3, 9])] == [1, 2, 3, 9]
     assert license_scan.increasing([]) == []
