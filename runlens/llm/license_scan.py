@@ -104,20 +104,25 @@ for _short, _long in _CC.items():
 
 TEMPLATES = NOTICES | TEXTS
 
-#: Phrases that an aligned span has to hold, each as a list of alternatives.
+#: Phrases that an aligned span has to hold, each as a list of alternatives. Names are whole and without gaps,
+#: so a foreign word inside one (Lesser, NonCommercial) is another license; other names beside it (a choice of two) are not.
 IDENTITY = {name: [names] for name, names in NAMES.items()} | {
+    "Apache-2.0": [NAMES["Apache-2.0-name"]],
     "Apache-2.0-header": [["Apache License, Version 2.0"]],
     "Apache-2.0-text": [["Apache License, Version 2.0"]],
     "Artistic-1.0-Perl-text": [["Artistic License"]],
     "BSD-3-Clause": [["endorse or promote products"]],
     "BSD-4-Clause": [["endorse or promote products"], ["advertising materials mentioning features"]],
     "BSL-1.0-text": [["any person or organization obtaining a copy"]],
+    "CC-BY-4.0": [NAMES["CC-BY-4.0-name"]],
+    "CC-BY-NC-4.0": [NAMES["CC-BY-NC-4.0-short"]],
     "CC0-1.0-text": [["CC0 1.0 Universal"]],
     "GFDL-1.2-text": [["Version 1.2, November 2002"]],
     "GFDL-1.3-text": [["Version 1.3, 3 November 2008"]],
     "GPL-1.0-text": [["GNU General Public License Version 1, February 1989"]],
     "GPL-2.0-header": [["GNU General Public License as published"], ["version 2 of the License"]],
     "GPL-2.0-text": [["GNU General Public License Version 2, June 1991"]],
+    "GPL-3.0": [NAMES["GPL-3.0-name"]],
     "GPL-3.0-header": [["GNU General Public License as published"], ["version 3 of the License"]],
     "GPL-3.0-text": [["GNU General Public License Version 3, 29 June 2007"]],
     "AGPL-3.0-header": [["GNU Affero General Public License as published"], ["version 3 of the License"]],
@@ -128,6 +133,7 @@ IDENTITY = {name: [names] for name, names in NAMES.items()} | {
     "LGPL-2.1-text": [["GNU Lesser General Public License Version 2.1, February 1999"]],
     "LGPL-3.0-header": [["GNU Lesser General Public License as published"], ["version 3 of the License"]],
     "LGPL-3.0-text": [["GNU Lesser General Public License Version 3, 29 June 2007"]],
+    "MIT": [NAMES["MIT-name"]],
     "MIT-text": [["obtaining a copy of this software and associated documentation files"]],
     "MPL-1.1-text": [["Mozilla Public License Version 1.1"]],
     "MPL-2.0-header": [["Mozilla Public License, v. 2.0"]],

@@ -403,6 +403,26 @@ def test_license_scan_tells_relatives_apart():
     assert {hit[0] for hit in scanner.scan("Licensed under the Mozilla Public License, Version 2.0.")} == {"MPL-2.0"}
 
 
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("Released under the BSD License.", set()),
+        ("Released under the Apache License.", set()),
+        ("Licensed under CC BY 4.0.", {"CC-BY-4.0-short"}),
+        ("Licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0-short"}),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", {"LGPL-2.1"}),
+        ("Licensed under the Mozilla Public License, Version 2.0.", {"MPL-2.0"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", {"CC-BY-NC-4.0-name"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0-name"}),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"CC-BY-4.0"}),
+        ("Published under the MIT License.", {"MIT-name"}),
+    ],
+)
+def test_license_scan_needs_the_name(line, want):
+    assert {hit[0] for hit in license_scan.Scanner(license_scan.TEMPLATES).scan(line)} == want
+
+
 def test_longest_increasing_subsequence():
     assert [[5, 1, 4, 2, 3, 9][i] for i in license_scan.increasing([5, 1, 4, 2, 3, 9])] == [1, 2, 3, 9]
     assert license_scan.increasing([]) == []
