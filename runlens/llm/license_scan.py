@@ -7,8 +7,15 @@ increasing subsequence splits both into gaps, which are aligned the same way, af
 common heads and tails are taken; gaps without unique words are filled by their common
 heads and tails only. Coverage is the share of the template's words that are aligned.
 
-A window counts only if its aligned span holds the template's ``IDENTITY``: phrases that
-tell it from its relatives (name, variant, version, distinguishing clause). Of spans
+Windows start at 2.5 times the template's length. Where none is accepted although the
+whole text has the words (as many of the template's and all of an identity's), they double
+until one window is the whole text, so a notice is found however far it is spread; where
+one is accepted in part, the next width is tried as well.
+
+A window counts only if it holds the template's ``IDENTITY``: phrases that
+tell it from its relatives (name, variant, version, distinguishing clause). A phrase is
+held if the aligned span has it word by word or, in templates of ``LOOSE`` words or more,
+if its words are aligned and no word of a license's name stands between them. Of spans
 that overlap by more than half of the smaller one, the one with more aligned words wins
 (the shorter template of equals), so a header is not reported again as the notice inside it, nor BSD-3-Clause as
 BSD-2-Clause.
@@ -18,7 +25,7 @@ The templates are a fixed list (names, notices, headers, and the whole texts of
 follows the words, however many documents hold the same notice.
 
 Defined cases: words are runs of letters, digits and dots inside numbers, in lower case;
-null or empty text gives no row; a template below ``MIN_COVERAGE`` or without its
+null or empty text gives no row; a null doc_id is carried; a template below ``MIN_COVERAGE`` or without its
 identity gives no row; each (row, template) pair gives one row, of its best window that
 no other template wins, the first of equals; repeated rows give repeated results; an empty table gives no rows; other columns are not read.
 """
@@ -43,6 +50,9 @@ _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 #: From this many words on, a template is compared with the word counts of the whole text first.
 LONG = 400
 
+#: From this many words on, other words may stand inside the phrases of a template's identity.
+LOOSE = 20
+
 #: Short notices and headers of public licenses.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -187,10 +197,19 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+#: Words that tell licenses apart: one of them inside a spread phrase makes it another license's.
+NAME_WORDS = {w for names in NAMES.values() for name in names for w in word_list(name)} - {"the"}
+
+
 def _phrase(words: list[str]) -> str:
     return f" {' '.join(words)} "
 
 
+def _places_of(phrase: list[str], words: list[str]) -> list[range]:
+    n = len(phrase)
+    return [range(k, k + n) for k in range(len(words) - n + 1) if words[k : k + n] == phrase]
+
+
 class Scanner:
     """Templates with the words that open their windows."""
 
@@ -200,6 +219,8 @@ class Scanner:
         self.counts = {name: Counter(words) for name, words in self.templates.items()}
         self.need = {name: int(-(-MIN_COVERAGE * len(words) // 1)) for name, words in self.templates.items()}
         self.identity = {name: [[_phrase(word_list(x)) for x in any_of] for any_of in IDENTITY.get(name, ())] for name in self.templates}
+        self.identity_words = {name: [[set(word_list(x)) for x in any_of] for any_of in IDENTITY.get(name, ())] for name in self.templates}
+        self.identity_places = {name: [[at for x in any_of for at in _places_of(word_list(x), words)] for any_of in IDENTITY.get(name, ())] for name, words in self.templates.items() if len(words) >= LOOSE}
         self.long = [name for name, words in self.templates.items() if len(words) >= LONG]
         self.openers: dict[str, list[str]] = {}
         self.long_openers: dict[str, set[str]] = {}
@@ -237,31 +258,63 @@ class Scanner:
         """Whether an alignment of a template covers enough and holds its identity."""
         if len(got) < self.need[name]:
             return False
-        span = _phrase(words[got[0][0] : got[-1][0] + 1])
-        return all(any(x in span for x in any_of) for any_of in self.identity[name])
+        span, where = _phrase(words[got[0][0] : got[-1][0] + 1]), None
+        for k, any_of in enumerate(self.identity[name]):
+            if any(x in span for x in any_of):
+                continue
+            where = where or {y: x for x, y in got}
+            if not any(self.spread(places, where, words) for places in self.identity_places.get(name, [()] * len(self.identity[name]))[k]):
+                return False
+        return True
+
+    @staticmethod
+    def spread(places: range, where: dict[int, int], words: list[str]) -> bool:
+        """Whether all these words of the template are aligned without a license's name word between them."""
+        if any(y not in where for y in places):
+            return False
+        return all(NAME_WORDS.isdisjoint(words[where[y] + 1 : where[y + 1]]) for y in places[:-1])
+
+    def possible(self, name: str, counts: Counter) -> bool:
+        """Whether a whole text has enough of a template's words, and all of its identity."""
+        if (counts & self.counts[name]).total() < self.need[name]:
+            return False
+        return all(any(all(w in counts for w in x) for x in any_of) for any_of in self.identity_words[name])
+
+    def hits(self, name: str, words: list[str], at: list[int], reach: int) -> list[tuple]:
+        """Accepted windows of ``reach`` words around the opening words at ``at``."""
+        template, need, found = self.templates[name], self.need[name], []
+        merged: list[list[int]] = []
+        for k in at:
+            if merged and k - reach <= merged[-1][1]:
+                merged[-1][1] = min(len(words), k + reach + 1)
+            else:
+                merged.append([max(0, k - reach), min(len(words), k + reach + 1)])
+        for a, b in merged:
+            # Long runs of windows are cut so that a word repeated in the next notice stays unique in its own.
+            for start in range(a, max(a + 1, b - reach), max(1, reach // 2)):
+                part = words[start : min(b, start + 2 * reach)]
+                if (Counter(part) & self.counts[name]).total() < need:
+                    continue
+                got = align(part, template)
+                if self.accepts(name, part, got):
+                    found.append((-len(got), len(template), start + got[0][0], name, start + got[-1][0]))
+        return found
 
     def scan(self, text: str | None) -> list[tuple]:
         """(license, coverage, matched words, first word, last word)."""
         words = word_list(text)
-        found = []
+        found, counts = [], None
         for name, at in self.places(words).items():
-            template = self.templates[name]
-            need, reach = self.need[name], len(template) + len(template) // 4
-            merged: list[list[int]] = []
-            for k in at:
-                if merged and k - reach <= merged[-1][1]:
-                    merged[-1][1] = min(len(words), k + reach + 1)
-                else:
-                    merged.append([max(0, k - reach), min(len(words), k + reach + 1)])
-            for a, b in merged:
-                # Long runs of windows are cut so that a word repeated in the next notice stays unique in its own.
-                for start in range(a, max(a + 1, b - reach), max(1, reach // 2)):
-                    part = words[start : min(b, start + 2 * reach)]
-                    if (Counter(part) & self.counts[name]).total() < need:
-                        continue
-                    got = align(part, template)
-                    if self.accepts(name, part, got):
-                        found.append((-len(got), len(template), start + got[0][0], name, start + got[-1][0]))
+            reach = len(self.templates[name]) * 5 // 4
+            hits = self.hits(name, words, at, reach)
+            if not hits and reach < len(words):
+                counts = counts or Counter(words)
+                while not hits and reach < len(words) and self.possible(name, counts):
+                    reach *= 2
+                    hits = self.hits(name, words, at, reach)
+            if hits and reach < len(words) and -min(hits)[0] < len(self.templates[name]):
+                hits = hits + self.hits(name, words, at, 2 * reach)  # a notice cut by its window aligns better in a wider one
+            found += hits
         won: list[tuple[str, int, int]] = []
         out = {}
         for n, _, first, name, last in sorted(found):
