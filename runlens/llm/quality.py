@@ -10,7 +10,8 @@ score is at least ``THRESHOLD``. The model is ``BUCKETS`` doubles, whatever the
 
 Base figures: words are runs without ASCII white space. n_repeat_words counts words
 inside 3-word windows that occur twice or more: windows are hashed, packed with their
-place into a long, sorted, compared with their neighbours, and the places merged.
+place into a long, sorted and compared with their neighbours; the words of those whose
+hashes meet are compared themselves, so the count is exact; then the places are merged.
 
 Defined cases: null or empty text has no words and fails the base rules (score 0); no
 trusted labels give an even ratio, so only the base rules decide; null labels are
@@ -78,28 +79,44 @@ def ratio(text: Column, model: list[float]) -> Column:
     return let(features(text), lambda f: F.when(F.size(f) > 0, F.aggregate(f, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(f)).otherwise(F.lit(0.0)))
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words covered by 3-word windows found at least twice, from the words' hashes."""
+def _shift(name: str, value: Column, by: Column) -> Column:
+    return F.call_function(name, value, by)
 
-    def shift(name: str, value: Column, by: Column) -> Column:
-        return F.call_function(name, value, by)
 
-    def covered(h: Column) -> Column:
+def _neighbours(sorted_: Column, key) -> Column:
+    """The elements of a sorted array whose ``key`` is that of a neighbour."""
+    same = lambda x, other: F.coalesce(key(x) == key(other), F.lit(False))
+    return F.filter(sorted_, lambda x, k: same(x, F.get(sorted_, k + 1)) | same(x, F.get(sorted_, F.when(k > 0, k - 1))))
+
+
+def _repeat_words(found: Column, hash_of=lambda x: F.xxhash64(x)) -> Column:
+    """Words covered by 3-word windows found at least twice in the words ``found``.
+
+    Hashes only choose the windows whose words are compared; ``hash_of`` can be any function of a word.
+    """
+    zero = F.lit(0).cast("long")
+
+    def candidates(h: Column) -> Column:
+        """Places of windows whose hash, less the bits that hold the place, is that of another."""
         bits = F.ceil(F.log2(F.size(h) + F.lit(1.0))).cast("int")
-        packed = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: shift("shiftleft", F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)), bits).bitwiseOR(i.cast("long")))
+        packed = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: _shift("shiftleft", F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)), bits).bitwiseOR(i.cast("long")))
+        mask = _shift("shiftleft", F.lit(1).cast("long"), bits) - 1
+        return let(F.sort_array(packed), lambda p: F.transform(_neighbours(p, lambda x: _shift("shiftrightunsigned", x, bits)), lambda x: x.bitwiseAND(mask)))
+
+    def window(i: Column) -> Column:
+        at = i.cast("int")
+        return F.concat_ws(" ", F.get(found, at), F.get(found, at + 1), F.get(found, at + 2))  # no word holds a space
 
-        def places(p: Column) -> Column:
-            key = lambda x: shift("shiftrightunsigned", x, bits)
-            same = lambda x, other: F.coalesce(key(x) == key(other), F.lit(False))
-            twice = F.filter(p, lambda x, k: same(x, F.get(p, k + 1)) | same(x, F.get(p, F.when(k > 0, k - 1))))
-            mask = shift("shiftleft", F.lit(1).cast("long"), bits) - 1
-            at = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
-            start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-            return F.aggregate(at, start, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3).cast("long"), i - s["last"])).alias("n")), lambda s: s["n"])
+    def exact(at: Column) -> Column:
+        pairs = F.transform(at, lambda i: F.struct(window(i).alias("w"), i.alias("i")))
+        return let(F.sort_array(pairs), lambda p: F.sort_array(F.transform(_neighbours(p, lambda x: x["w"]), lambda x: x["i"])))
 
-        return let(F.sort_array(packed), places)
+    def covered(at: Column) -> Column:
+        start = F.struct(F.lit(-3).cast("long").alias("last"), zero.alias("n"))
+        return F.aggregate(exact(at), start, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3).cast("long"), i - s["last"])).alias("n")), lambda s: s["n"])
 
-    return let(hashes, lambda h: F.when(F.size(h) < 4, F.lit(0).cast("long")).otherwise(covered(h)))
+    some = lambda h: let(candidates(h), lambda at: F.when(F.size(at) == 0, zero).otherwise(covered(at)))
+    return let(F.transform(found, hash_of), lambda h: F.when(F.size(h) < 4, zero).otherwise(some(h)))
 
 
 def figures(text: Column) -> Column:
@@ -114,7 +131,7 @@ def figures(text: Column) -> Column:
             F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
             full_lines.cast("long").alias("n_dup_lines"),
-            _repeat_words(F.transform(w, lambda x: F.xxhash64(x))).alias("n_repeat_words"),
+            _repeat_words(w).alias("n_repeat_words"),
         ),
     )
 
