@@ -15,7 +15,8 @@ buckets grow as the source does.
 
 Defined cases: null or empty text has size 0 and takes nothing; the null source is a
 source of its own, last in order; repeated rows are separate rows and take separately;
-an empty table gives no rows; sources of size 0 have target 0; other columns pass by.
+an empty table gives no rows; sources of size 0 have target 0; other columns pass by
+(names that start with two underscores are the operator's own).
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, partitions, session, written
+from .common import forget, n_words, partitions, session, written
 
 CAP = 3
+#: Parts in which the rows of one source meet its plan row, should that join be a shuffle.
+SALTS = 64
 WEIGHTS = (1, 2, 3)
 #: Knots (time, density) of the schedule of each weight class: early, even, late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
@@ -111,8 +114,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, cap: int = CAP, w
     plan = source_plan(sized, weights, cap).withColumn("buckets", F.ceil(F.sqrt("n_docs"))).withColumnRenamed("source", "_source")
     same = F.col("source").eqNullSafe(F.col("_source"))
     order = F.xxhash64("doc_id", "tkey")
-    rows = sized.join(plan, same).drop("_source").withColumn("order", order).withColumn("bucket", F.pmod(F.shiftright("order", 3), F.col("buckets")))
-    rows = written(rows, "planned")
+    salts = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = sized.withColumn("salt", F.pmod(order, F.lit(SALTS)).cast("int"))
+    rows = salted.join(salts, same & (F.col("salt") == F.col("_salt"))).drop("_source", "_salt", "salt").withColumn("order", order).withColumn("bucket", F.pmod(F.shiftright("order", 3), F.col("buckets")))
+    rows = planned = written(rows, "planned")
+    forget(sized)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), before.alias("bucket_start"))
@@ -131,7 +137,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, cap: int = CAP, w
     rows = rows.withColumn("words", amount.cast("long")).withColumn("position", F.when(F.col("words") > 0, position(used / F.col("target"), F.col("kind"), schedules)))
     rows = rows.select("doc_id", "tkey", "source", "size", "source_size", "target", F.col("pass").cast("int").alias("pass"), "words", "position")
     key = ["position", "source", "doc_id", "pass"]
-    return written(rows, "assigned").repartitionByRange(partitions(spark), *key).sortWithinPartitions(*key)
+    assigned = written(rows, "assigned")
+    forget(planned)
+    return assigned.repartitionByRange(partitions(spark), *key).sortWithinPartitions(*key)
 
 
 def mix_totals(assignments: DataFrame) -> DataFrame:
@@ -146,9 +154,46 @@ def mix_totals(assignments: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every document repeated as often as the mix takes it whole (not at all: gone)."""
-    taken = mix(docs, whole_documents=True, **options).where(F.col("words") > 0).groupBy("doc_id", "tkey", "source").agg(F.count(F.lit(1)).alias("_times"), F.sum(F.when(F.col("pass") == 0, 1).otherwise(0)).alias("_copies"))
-    taken = taken.withColumnRenamed("doc_id", "_doc").withColumnRenamed("source", "_source").withColumnRenamed("tkey", "_tkey")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_tkey"))
-    times = F.ceil(F.col("_times") / F.greatest("_copies", F.lit(1)))
-    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    """``docs`` with every document repeated as often as the mix takes it whole (not at all: gone).
+
+    Rows repeated with the same doc_id, source and text share their group's passes: each gets the even
+    part, and the first rows by ``_dealt`` one more, so the words taken are those of the plan.
+    """
+    taken = mix(docs, whole_documents=True, **options).groupBy("doc_id", "tkey", "source").agg(F.sum(F.when(F.col("words") > 0, 1).otherwise(0)).alias("__times"), F.sum(F.when(F.col("pass") == 0, 1).otherwise(0)).alias("__rows"))
+    names = {"doc_id": "__doc", "source": "__source", "tkey": "__text"}
+    taken = taken.where("__times > 0").withColumnsRenamed(names)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("__text"))
+    single = docs.join(taken.where("__rows = 1"), same).select(*docs.columns, "__times")
+    several = _dealt(docs.join(taken.where("__rows > 1"), same)).select(*docs.columns, "__times")
+    again = F.explode(F.sequence(F.lit(1).cast("long"), "__times"))
+    return single.union(several).where("__times > 0").withColumn("__again", again).select(*docs.columns)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of repeated groups (``__doc``, ``__source``, ``__text``, ``__times``, ``__rows``) with their own ``__times``.
+
+    A group can be any share of all rows, so its rows are numbered along a range order that
+    cuts inside groups, from one count a partition and one least number a group.
+    """
+    key = ["__doc", "__source", "__text"]
+    stable = written(rows.withColumn("__at", F.monotonically_increasing_id()), "repeats")
+    order = [*key, "__at"]
+    part, inside = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    spread = written(stable.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("__part", part).withColumn("__in", inside), "dealt")
+    forget(stable)
+    before, offsets = 0, []
+    for r in sorted(spread.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()):  # one row a partition
+        offsets.append((r[0], before))
+        before += r.n
+    offsets = rows.sparkSession.createDataFrame(offsets, "__part int, __before long")
+    numbered = spread.join(F.broadcast(offsets), "__part").withColumn("__number", F.col("__before") + F.col("__in"))
+    first = numbered.groupBy(*key).agg(F.min("__number").alias("__first"), F.lit(True).alias("__found")).withColumnsRenamed({k: k + "2" for k in key})
+    match = F.lit(True)
+    for k in key:
+        match &= F.col(k).eqNullSafe(F.col(k + "2"))
+    rank = F.col("__number") - F.col("__first")
+    times = F.floor(F.col("__times") / F.col("__rows")) + F.when(rank < F.col("__times") % F.col("__rows"), 1).otherwise(0)
+    return numbered.join(first, match).withColumn("__times", times.cast("long"))
+
+
+__all__ = ["mix", "mix_totals", "mixed_documents", "position", "ranked", "source_plan", "targets"]
