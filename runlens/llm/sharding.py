@@ -14,7 +14,7 @@ rows also gives their final slots.
 Defined cases: null text has 0 bytes (size 1) and crc32 0; a null doc_id sorts first;
 repeated rows have equal keys and sit side by side, possibly on both sides of a
 boundary's neighbour but never across one; an empty table gives no rows; other columns
-can be carried with ``columns``.
+can be carried with ``columns``, under their name and ``_in`` where it is one of the result's.
 """
 
 from __future__ import annotations
@@ -126,7 +126,9 @@ def splitters(rows: DataFrame, goals: list[tuple[int, float]]) -> list[int]:
                 span[i] = (low, high + 1)
                 continue
             del span[i]
-    return [found.get(i, span.get(i, (0,))[0]) for i in range(len(goals))]
+    if span:
+        raise RuntimeError(f"{len(span)} splitters weren't settled in {MAX_ROUNDS} rounds")
+    return [found[i] for i in range(len(goals))]
 
 
 def plan(rows: DataFrame, n_shards: int, n_tasks: int) -> tuple[list[int], list[int], list[int]]:
@@ -179,15 +181,17 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, columns: tuple[str, ...]
     """All documents with doc_id, size, text_crc32, law, shard, slot, grown_shard, and ``columns`` of theirs."""
     spark = session(docs)
     binary = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.select(F.xxhash64("text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(binary) + 1).cast("long").alias("size"), F.crc32(binary).cast("long").alias("text_crc32"), *columns)
+    keyed = docs.select(F.xxhash64("text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(binary) + 1).cast("long").alias("size"), F.crc32(binary).cast("long").alias("text_crc32"), F.struct(F.lit(0).alias("_"), *columns).alias("carried"))
     narrow = written(keyed.select("h", "doc_id", "size", "text_crc32"), "keys")
     n_tasks = partitions(spark)
     keys, shards, slots = plan(narrow, n_shards, n_tasks)
     rows = keyed if columns else narrow
+    own = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    carried = [F.col("carried")[c].alias(c + "_in" if c in own else c) for c in columns]
     placed = rows.mapInArrow(_assign(keys), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", task int")
     # One row per task of the exchange: n_tasks rounded up to whole shards.
     tasks = spark.createDataFrame(list(zip(range(len(shards)), shards, slots)), "task int, shard int, first_slot long")
     sorted_ = placed.repartitionById(len(shards), F.col("task")).sortWithinPartitions("h", "doc_id")
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     sorted_ = sorted_.withColumn("_inside", inside).join(F.broadcast(tasks), "task")
-    return sorted_.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first_slot") + F.col("_inside")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *columns)
+    return sorted_.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first_slot") + F.col("_inside")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carried)
