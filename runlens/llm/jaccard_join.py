@@ -4,46 +4,59 @@ A document is the set of its distinct 5-word shingles (64-bit hashes); two docum
 link if their Jaccard similarity is at least 0.8. Only components are asked for, so no
 group of copies is expanded into pairs, yet no link between different texts is lost:
 
-1. Equal sets collapse into one class. Tokens are ordered by a count sketch of fixed
-   size over all documents (rare first, ties by hash): any fixed order gives exact
-   results, the sketch only keeps common passages out of the prefixes.
+1. Equal sets collapse into one class. Tokens are ordered by a count sketch over all
+   documents (rare first, ties by hash), whose width follows the input up to a bound: any
+   fixed order gives exact results, the sketch only keeps common passages out of the prefixes.
 2. Classes with equal size and equal prefix collapse into one group. Groups that share a
    prefix token meet in that token's bucket; the smallest group is its pivot. By the
    prefix filter, two linked documents share a bucket or a group, hence a pivot.
 3. Every member of a group that met a pivot is paired with the pivot's leader: at most
    one pair per index entry. Pairs whose sizes and parity signatures (bits that bound the
    overlap from above) leave room for a link are verified on the full sets.
-4. Two members of one pivot that are still in different components are compared by the
-   same bounds, and by the triangle inequality where both distances to the pivot are
-   known (they may differ by at most 0.2). Pairs that pass are verified too.
+4. Two members of one pivot that are still in different components meet if their size
+   classes (steps of 1.25) are neighbours, and are compared by the same bounds, and by the
+   triangle inequality where both distances to the pivot are known (they may differ by at
+   most 0.2) and belong to one text each. Pairs that pass are verified too.
 5. Components by alternating large-star and small-star steps over written tables.
 
+Keys with many rows (a pivot of thousands, the centre of a star) are split: rows are
+counted per key, keys over a partition's even share are at most as many as partitions, so
+that list is broadcast, their rows are salted and the other side's rows repeated per salt.
+
 Sets are computed from the texts again for the few documents that need verification,
-chosen by a bit table of fixed size, so texts are never shuffled.
+chosen by a bit table as wide as there are such documents (up to a bound, past which more
+sets are computed than needed), so texts are never shuffled.
 
 Defined cases: words as in the contract; null, empty or wordless text has an empty set,
 links with nothing and is its own component; rows that share a doc_id are one document
 for linking; a row with a null doc_id takes no part (component null); an empty table
-gives no rows; other columns are not read.
+gives no rows; other columns are not read. ``one_of_each`` takes rows, not ids: of rows
+that link, also those repeated or without a doc_id, the one with the least doc_id stays.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, forget, holds, session, written
+from .common import claim, forget, holds, partitions, session, written
 
 SHINGLE = 5
 PERCENT = 80
-#: Counters of the frequency sketch and bits of the candidate table; fixed sizes.
-SKETCH, SKETCH_CHUNK = 1 << 21, 1 << 14
-BITS, BITS_CHUNK = 1 << 24, 1 << 16
+#: Least and most counters of the frequency sketch (two bytes each when sent), and input bytes a counter.
+SKETCH, MAX_SKETCH, SKETCH_CHUNK, SKETCH_BYTES = 1 << 21, 1 << 24, 1 << 14, 256
+#: Least and most bits of the candidate table, and bits a candidate.
+BITS, MAX_BITS, BITS_CHUNK, BITS_EACH = 1 << 24, 1 << 28, 1 << 16, 16
+#: Sizes of linked sets differ by a factor of 1.25 at most, so their classes differ by one at most.
+CLASS_STEP = math.log(100 / PERCENT) * 1.000001
+#: Rows of one key that are never split.
+FEW = 32
 MEMO_WORDS = 200_000
 #: Fewest bits of a signature; longer sets get the next power of two above their size.
 SIGNATURE = 256
@@ -94,34 +107,49 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def _sketch_parts(batches):
-    counts = np.zeros(SKETCH, np.int64)
-    for batch in _slices(batches):
-        for text in batch.column(0).to_pylist():
-            np.add.at(counts, (shingles(text) % np.uint64(SKETCH)).astype(np.int64), 1)
-    if counts.any():
-        for k in range(0, SKETCH, SKETCH_CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array([k // SKETCH_CHUNK], pa.int32()), pa.array([zlib.compress(counts[k : k + SKETCH_CHUNK].tobytes(), 1)])], ["chunk", "data"])
+def width(wanted: int, least: int, most: int) -> int:
+    """The power of two that holds ``wanted``, between two bounds."""
+    return min(most, max(least, 1 << max(0, wanted - 1).bit_length()))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's size: no scan, and only sizes of tables depend on it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _sketch_parts(size: int):
+    def run(batches):
+        counts = np.zeros(size, np.int32)
+        for batch in _slices(batches):
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (shingles(text) % np.uint64(size)).astype(np.int64), 1)
+        if counts.any():
+            for k in range(0, size, SKETCH_CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([k // SKETCH_CHUNK], pa.int32()), pa.array([zlib.compress(counts[k : k + SKETCH_CHUNK].astype(np.int64).tobytes(), 1)])], ["chunk", "data"])
+
+    return run
 
 
 def _sketch_sum(batches):
-    """Sums the parts of each chunk of this partition."""
+    """Sums the parts of each chunk of this partition, on a scale of logarithms: only their order counts."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             part = np.frombuffer(zlib.decompress(data), np.int64)
             sums[chunk] = sums[chunk] + part if chunk in sums else part
     for chunk, part in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], ["chunk", "data"])
+        level = np.round(np.log2(part + 1.0) * 1000).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)])], ["chunk", "data"])
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """How often shingles of all documents fall on each of SKETCH counters, as 32 bits."""
-    parts = docs.select("text").mapInArrow(_sketch_parts, "chunk int, data binary").repartition(SKETCH // SKETCH_CHUNK, "chunk")
-    out = np.zeros(SKETCH, np.int64)
-    for r in parts.mapInArrow(_sketch_sum, "chunk int, data binary").collect():  # SKETCH counters
-        out[r.chunk * SKETCH_CHUNK : (r.chunk + 1) * SKETCH_CHUNK] = np.frombuffer(zlib.decompress(r.data), np.int64)
-    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+def sketch(docs: DataFrame, size: int | None = None) -> np.ndarray:
+    """How often shingles of all documents fall on each counter, as 1000 x log2(1 + count)."""
+    size = size or width(input_bytes(docs) // SKETCH_BYTES, SKETCH, MAX_SKETCH)
+    parts = docs.select("text").mapInArrow(_sketch_parts(size), "chunk int, data binary").repartition(partitions(docs.sparkSession), "chunk")
+    out = np.zeros(size, np.uint16)
+    for r in parts.mapInArrow(_sketch_sum, "chunk int, data binary").collect():  # bounded by MAX_SKETCH counters
+        out[r.chunk * SKETCH_CHUNK : (r.chunk + 1) * SKETCH_CHUNK] = np.frombuffer(zlib.decompress(r.data), np.uint16)
+    return out
 
 
 def signature(tokens: np.ndarray) -> list[int]:
@@ -147,7 +175,7 @@ def _prefix_rows(shared):
                 tokens = shingles(text)
                 n, prefix = len(tokens), tokens[:0]
                 if n:
-                    order = np.argsort(counts[(tokens % np.uint64(SKETCH)).astype(np.int64)], kind="stable")
+                    order = np.argsort(counts[(tokens % np.uint64(len(counts))).astype(np.int64)], kind="stable")
                     prefix = tokens[order[: prefix_length(n)]]
                 d, g = (np.frombuffer(xxhash.xxh3_128_digest(x.tobytes(), seed=n), np.int64).tolist() for x in (tokens, prefix))
                 rows.append((doc, n, *d, *g, signature(tokens), _signed(prefix)))
@@ -162,8 +190,9 @@ _PREFIX_SCHEMA = "doc_id long, n long, d1 long, d2 long, g1 long, g2 long, sig a
 
 
 def bit_table(ids: DataFrame) -> np.ndarray:
-    """Bits set at the hashes of ``ids`` (column id); BITS bits whatever the number of ids."""
-    at = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    """Bits set at the hashes of ``ids`` (column id); as many as the ids ask for, within bounds."""
+    size = width(BITS_EACH * ids.count(), BITS, MAX_BITS)
+    at = F.pmod(F.xxhash64("id"), F.lit(size))
     chunks = ids.select(F.floor(at / BITS_CHUNK).cast("int").alias("chunk"), (at % BITS_CHUNK).cast("int").alias("bit")).distinct()
 
     def fill(batches):
@@ -175,10 +204,10 @@ def bit_table(ids: DataFrame) -> np.ndarray:
         for chunk, part in tables.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)])], ["chunk", "data"])
 
-    out = np.zeros(BITS, bool)
-    for r in chunks.repartition(BITS // BITS_CHUNK, "chunk").mapInArrow(fill, "chunk int, data binary").collect():
-        out[r.chunk * BITS_CHUNK : (r.chunk + 1) * BITS_CHUNK] |= np.unpackbits(np.frombuffer(zlib.decompress(r.data), np.uint8)).astype(bool)
-    return np.packbits(out)
+    out, step = np.zeros(size // 8, np.uint8), BITS_CHUNK // 8
+    for r in chunks.repartition(partitions(ids.sparkSession), "chunk").mapInArrow(fill, "chunk int, data binary").collect():
+        out[r.chunk * step : (r.chunk + 1) * step] = np.frombuffer(zlib.decompress(r.data), np.uint8)
+    return out
 
 
 def _set_rows(shared):
@@ -197,16 +226,82 @@ def _set_rows(shared):
 
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Shingle sets of at least the documents in ``ids`` (column id); a few more may come along."""
-    shared = session(docs).sparkContext.broadcast(bit_table(ids))
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS)).alias("at"), "text")
-    return written(rows.mapInArrow(_set_rows(shared), "id long, tokens array<long>"), "sets")
+    ids = written(ids, "ids")
+    table = bit_table(ids)
+    shared = session(docs).sparkContext.broadcast(table)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(8 * len(table))).alias("at"), "text")
+    out = written(rows.mapInArrow(_set_rows(shared), "id long, tokens array<long>"), "sets")
+    forget(ids)
+    shared.destroy()
+    return out
+
+
+def crowded(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """Keys of more than an even share of ``n_rows`` rows a partition, with the number of ``salts`` they are split by.
+
+    There are fewer such keys than partitions, so the table can be broadcast.
+    """
+    limit = max(FEW, n_rows // partitions(rows.sparkSession))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > limit).select(*keys, F.ceil(F.col("k") / limit).cast("int").alias("salts"))
+
+
+def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """Join on ``keys``; crowded keys of ``rows`` are split by the hash of ``by`` and met by copies of ``other``."""
+    many = F.broadcast(crowded(rows, keys, n_rows))
+    left = rows.join(many, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), "salts").cast("int"), F.lit(0))).drop("salts")
+    right = other.join(many, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"], how).drop("salt")
+
+
+def _pivots(batches):
+    """Of an index sorted by (token, leader): each leader with the first of its token; the partition's first run stays open."""
+    first_token = token = pivot = first_pivot = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, leaders = (c.to_numpy() for c in batch.columns)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(t)) + 1])
+        pivots = leaders[starts]
+        if first_token is None:
+            first_token, first_pivot = t[0], leaders[0]
+        elif t[0] == token:
+            pivots[0] = pivot
+        token, pivot = t[-1], pivots[-1]
+        own = np.repeat(pivots, np.diff(np.append(starts, len(t))))
+        opened = t == first_token
+        chosen = opened | (leaders != own)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(opened, OPEN, MET)[chosen], pa.int32()), *(pa.array(x[chosen]) for x in (t, leaders, own))], _INDEX)
+    if token is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([EDGE, EDGE], pa.int32()), *(pa.array(x, pa.int64()) for x in ([first_token, token], [first_pivot, pivot], [first_pivot, pivot]))], _INDEX)
+
+
+MET, OPEN, EDGE = 0, 1, 2
+_INDEX = ["kind", "token", "leader", "pivot"]
+
+
+def meetings(index: DataFrame) -> DataFrame:
+    """``index`` (token, leader) to distinct (leader, pivot): the least leader of each token against the others.
+
+    The index is cut into ranges of (token, leader), so a frequent token spreads over
+    partitions; the first run of a partition may have begun in an earlier one and takes the
+    least leader of the edges, at most two a partition.
+    """
+    ordered = index.repartitionByRange(partitions(index.sparkSession), "token", "leader").sortWithinPartitions("token", "leader")
+    stream = written(ordered.select("token", "leader").mapInArrow(_pivots, "kind int, token long, leader long, pivot long"), "pivots")
+    least = stream.where(F.col("kind") == EDGE).groupBy("token").agg(F.min("leader").alias("least"))
+    settled = stream.where(F.col("kind") == OPEN).join(F.broadcast(least), "token").select("leader", F.col("least").alias("pivot"))
+    both = stream.where(F.col("kind") == MET).select("leader", "pivot").union(settled).where("leader != pivot")
+    out = written(both.distinct(), "met")
+    forget(stream)
+    return out
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with ``common``, ``na`` and ``nb`` from the full sets."""
+    """``pairs`` (a, b; a written table) with ``common``, ``na`` and ``nb`` from the full sets."""
+    n = pairs.count()
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = salted_join(salted_join(pairs, left, ["a"], "b", n), right, ["b"], "a", n)
     out = both.withColumn("common", F.size(F.array_intersect("ta", "tb")).cast("long"))
     return out.withColumn("na", F.size("ta").cast("long")).withColumn("nb", F.size("tb").cast("long")).drop("ta", "tb")
 
@@ -225,22 +320,39 @@ def linked(common, na, nb):
     return 100 * common >= PERCENT * (na + nb - common)
 
 
+def with_least(edges: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``edges`` (u, v; a written table) with ``m``, the least v of each u, and the table to forget afterwards.
+
+    The minimum is combined before the shuffle; nodes with more edges than a partition's
+    share are fewer than partitions, and get theirs from a broadcast.
+    """
+    limit = max(FEW, n_rows // partitions(edges.sparkSession))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")), "least")
+    hubs = F.broadcast(least.where(F.col("k") > limit).select("u", F.col("m").alias("m_hub")))
+    marked = edges.join(hubs, "u", "left")
+    rest = marked.where("m_hub is null").select("u", "v").join(least.where(F.col("k") <= limit).select("u", "m"), "u")
+    return rest.select("u", "v", "m").union(marked.where("m_hub is not null").select("u", "v", F.col("m_hub").alias("m"))), least
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to (node, component): the smallest node reachable; only nodes of links appear."""
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
-        lowest = F.min("v").over(Window.partitionBy("u"))
-        large = both.select("u", "v", F.least(lowest, F.col("u")).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = large.select("u", "v", low.alias("m"))
-        small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+    mark = [F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))]
+    before = edges.agg(*mark).first()
+    while before[0]:
+        both = written(edges.union(edges.select(F.col("v"), F.col("u"))), "both")
+        near, used = with_least(both, 2 * before[0])
+        large = near.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
+        large = written(large, "large")
+        forget(both)
+        forget(used)
+        near, used = with_least(large, before[0])
+        small = near.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         after = written(small, "edges")
-        mark = [F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))]
-        same = edges.agg(*mark).first() == after.agg(*mark).first()
-        forget(edges)
-        edges = after
-        if same:
+        for old in (edges, large, used):
+            forget(old)
+        edges, last, before = after, before, after.agg(*mark).first()
+        if last == before:
             break
     root = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return root.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
@@ -255,32 +367,39 @@ def near_components(docs: DataFrame) -> DataFrame:
     some = rows.where("n > 0 and doc_id is not null")
     # 1. Classes of equal sets; a doc_id with several texts links its classes.
     classes = written(some.groupBy("d1", "d2", "n", "g1", "g2", "sig").agg(F.min("doc_id").alias("rep")), "classes")
-    same = some.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    n_rows = rows.count()
+    same = salted_join(some.select("doc_id", "d1", "d2"), classes.select("d1", "d2", "rep"), ["d1", "d2"], "doc_id", n_rows).where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     same, sizes = written(same, "same"), written(rows.select("doc_id", "n"), "counts")
     # Copies stay out of the components: they follow their representative. Only a doc_id with several texts links classes.
     several = same.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("k"))
     tied = same.join(several.where("k > 1"), "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     tied = tied.union(same.join(classes.select(F.col("rep").alias("a")), "a", "left_semi").select("a", "b"))
     tied = written(tied.distinct(), "tied")
+    # Representatives with several texts: a similarity of theirs may belong to any of them.
+    texts = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("rep").alias("a"))
+    mixed = written(texts.union(same.join(classes.select(F.col("rep").alias("a")), "a", "left_semi").select("a")).distinct(), "mixed")
     # 2. Groups of equal prefix and size; their leader is the smallest representative.
-    group = Window.partitionBy("g1", "g2", "n")
-    grouped = written(classes.select("rep", "n", "sig", F.min("rep").over(group).alias("leader")), "groups")
+    alike, n_classes = ["g1", "g2", "n"], classes.count()
+    least = classes.groupBy(*alike).agg(F.min("rep").alias("leader"))
+    grouped = written(salted_join(classes.select(*alike, "rep", "sig"), least, alike, "rep", n_classes).select("rep", "n", "sig", "leader"), "groups")
     leaders = grouped.where("rep = leader").select("leader").distinct()
     index = rows.select(F.col("doc_id").alias("leader"), "prefix").join(leaders, "leader", "left_semi").select("leader", F.explode("prefix").alias("token"))
-    met = index.withColumn("pivot", F.min("leader").over(Window.partitionBy("token"))).where("leader != pivot").select("leader", "pivot").distinct()
-    met = written(met, "met")
+    met = meetings(index)
     forget(rows)
     # 3. Members against pivots, and against the leader of their own group.
     members = grouped.select("rep", "leader")
-    stars = members.join(met, "leader").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).union(members.where("rep != leader").select("rep", "leader"))
-    stars = stars.union(members.join(met.select(F.col("pivot").alias("leader")).distinct(), "leader").where("rep != leader").select("rep", "leader")).distinct()
+    stars = salted_join(members, met, ["leader"], "rep", n_classes).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).union(members.where("rep != leader").select("rep", "leader"))
+    hosts = met.select(F.col("pivot").alias("leader")).distinct()
+    stars = stars.union(salted_join(members, hosts, ["leader"], "rep", n_classes).where("rep != leader").select("rep", "leader"))
+    pairs = written(stars.distinct(), "pairs")
+    n_pairs = pairs.count()
     bounds = grouped.select("rep", "n", "sig")
     near, far = (bounds.select(*(F.col(x).alias(y) for x, y in zip(("rep", "n", "sig"), z))) for z in (("a", "n", "sig"), ("b", "n2", "sig2")))
-    both = stars.join(near, "a").join(far, "b").select("a", "b", "n", "sig", room(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2")).alias("room"))
+    both = salted_join(salted_join(pairs, near, ["a"], "b", n_pairs), far, ["b"], "a", n_pairs)
+    both = both.select("a", "b", "n", "sig", room(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2")).alias("room"))
     stars = written(both, "stars")
-    forget(met)
-    forget(grouped)
-    forget(classes)
+    for used in (met, grouped, classes, pairs):
+        forget(used)
     sets = set_table(docs, stars.where("room").select(F.explode(F.array("a", "b")).alias("id")).distinct())
     got = overlaps(stars.where("room").select("a", "b"), sets)
     share = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
@@ -292,30 +411,41 @@ def near_components(docs: DataFrame) -> DataFrame:
     # 4. What one pivot brought together without a link so far: members outside its component against all its members.
     label = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
     own = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    side = stars.join(checked.select("a", "b", "j"), ["a", "b"], "left").join(label, "a", "left").join(own, "b", "left")
-    side = written(side.select("a", "b", "j", "n", "sig", F.coalesce("ca", "a").alias("c"), F.coalesce("cb", "b").alias("cb")), "sides")
+    known = checked.join(mixed, "a", "left_anti").join(mixed.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b", "j")
+    side = stars.join(known, ["a", "b"], "left").join(label, "a", "left")
+    side = salted_join(side, own, ["b"], "a", n_pairs, "left")
+    side = written(side.select("a", "b", "j", "n", "sig", F.floor(F.log("n") / CLASS_STEP).cast("int").alias("size"), F.coalesce("ca", "a").alias("c"), F.coalesce("cb", "b").alias("cb")), "sides")
     minor = side.where("c != cb").drop("cb")
-    other = side.select("b", *(F.col(x).alias(x + "2") for x in ("a", "j", "n", "sig", "c")))
+    near_size = F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))).alias("size")
+    other = side.select("b", near_size, *(F.col(x).alias(x + "2") for x in ("a", "j", "n", "sig", "c")))
     fits = (F.col("c") != F.col("c2")) & F.coalesce(F.abs(F.col("j") - F.col("j2")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
     fits &= room(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2"))
-    left_over = minor.join(other, "b").where(fits).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b"))
+    left_over = salted_join(minor, other, ["b", "size"], "a", minor.count()).where(fits).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b"))
     left_over = written(left_over.distinct(), "open")
     if not left_over.isEmpty():
         more_sets = set_table(docs, left_over.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         more = overlaps(left_over, more_sets).where(linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
         found = written(components(links.union(more)), "components")
-    for used in (tied, stars, checked, side, left_over):
+    for used in (tied, mixed, stars, checked, side, left_over):
         forget(used)
     # A document follows the component of its representative (itself, if it is one).
     rep = same.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))
     out = sizes.select("doc_id", F.col("n").alias("n_shingles")).join(rep, "doc_id", "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    return out.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    out = written(out, "nodes")
+    return salted_join(out, found, ["node"], "doc_id", n_rows, "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that aren't the first of their component.
+    """``docs`` with one row of each component: that with the least doc_id (null last), the first of equals.
 
-    Rows with a null doc_id stay, and so do all rows that share the first's doc_id.
+    Rows are numbered in a written copy, and the numbers take the place of doc_ids in the join.
     """
-    gone = near_components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    session(docs)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")).where("c is not null")
+    named = written(found.join(rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc")), "row"), "named")
+    order = F.struct(F.col("doc").isNull().alias("none"), F.col("doc"), F.col("row"))
+    stays = named.groupBy("c").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("c", "first.row")
+    both = salted_join(named, stays.withColumnRenamed("row", "stays"), ["c"], "row", named.count())
+    gone = both.where("row != stays").select(F.col("row").alias("__gone"))
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
