@@ -3,8 +3,10 @@
 ``write_tokens`` range-partitions documents by id, encodes every whole text and
 writes one table row per segment (about ``SEGMENT_TOKENS`` ids, whole documents)
 through Spark's own committer, so any file system that Spark writes works and a lost
-executor only repeats its tasks. ``read_documents`` reads the segments back;
-``token_at`` reads single ids by position.
+executor only repeats its tasks. A directory beside them (``path``.index: the global start
+of each segment, sorted) is written from their narrow columns. ``read_documents`` reads the
+segments back; ``token_at`` looks positions up in the directory, whose row statistics skip
+what doesn't hold them, and reads only the segments found, by part and number.
 
 Defined cases: null or empty text gives the end id alone; a null doc_id sorts first;
 repeated rows each get their own entry, in text order within a doc_id; an empty table
@@ -28,8 +30,10 @@ from . import dac
 from .common import claim, holds, partitions, session, work_path
 
 SEGMENT_TOKENS = 1 << 16
-#: Distinct pieces kept per Python worker (about 200 bytes each); then the cache starts anew.
-CACHE_PIECES = 400_000
+#: Bytes of pieces, their ids and 150 for each entry that a Python worker keeps; then the cache starts anew.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 150
+#: Longer pieces (texts without spaces) aren't kept.
+PIECE_CHARS = 256
 #: Texts encoded together.
 SLICE_ROWS = 256
 END_ID = 0
@@ -44,12 +48,19 @@ class _Pieces(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = self.make(piece)
+        got = self.make(piece)
+        if len(piece) <= PIECE_CHARS:
+            self[piece] = got
+            self.held += len(piece) + len(got) + ENTRY_BYTES
         return got
 
+    def drop(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer through a cache of space-led pieces.
@@ -100,12 +111,15 @@ class PieceEncoder:
                 out.append(self.line_end)
             cache = self.first if k or not lead else self.later
             if (got := cache.get(stem)) is None:
-                got = cache[stem] = self._run(stem, "" if k else lead)
+                got = self._run(stem, "" if k else lead)
+                if len(stem) <= PIECE_CHARS:
+                    cache[stem] = got
+                    cache.held += len(stem) + len(got) + ENTRY_BYTES
             out.append(got)
             if tail := line[len(stem) :]:
                 if (got := self.parts.get(tail)) is None:
                     got = self._run(tail, "")
-                    if len(self.parts) < 10_000:
+                    if len(self.parts) < 10_000 and len(tail) <= PIECE_CHARS:
                         self.parts[tail] = got
                 out.append(got)
         return b"".join(out)
@@ -116,9 +130,9 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) > CACHE_PIECES:
-            self.first.clear()
-            self.later.clear()
+        if self.first.held + self.later.held > CACHE_BYTES:
+            self.first.drop()
+            self.later.drop()
         later, out = self.later.__getitem__, []
         for text in texts:
             if "  " in text:
@@ -172,15 +186,16 @@ _ARROW = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("start_in_part",
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
-    """Encode ``docs`` (doc_id, text, ...) and write the segments; returns their path."""
+    """Encode ``docs`` (doc_id, text, ...) and write the segments and their directory; returns the segments' path."""
     spark = session(docs)
     path = path or work_path(spark, "tokens")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_segments(tokenizer_path), SEGMENT_SCHEMA).write.parquet(path)
+    _with_starts(spark, path).select("start", (F.col("start") + F.col("n_tokens")).alias("end"), "part", "seg", "first_doc", "last_doc").repartitionByRange(partitions(spark), "start").sortWithinPartitions("start").write.parquet(f"{path}.index")
     return path
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
+def _with_starts(spark: SparkSession, path: str) -> DataFrame:
     """Segments with ``start``: the number of ids in all segments before.
 
     The offsets of the range partitions come from a table with one row per partition,
@@ -193,6 +208,11 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(parts), "part").withColumn("start", F.col("part_start") + F.col("start_in_part")).drop("part_start")
 
 
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """The directory of segments: start, end (global positions), part, seg, first_doc, last_doc."""
+    return spark.read.schema("start long, end long, part int, seg int, first_doc long, last_doc long").parquet(f"{path}.index")
+
+
 def _digest(batches):
     for batch in batches:
         for start, data in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -206,14 +226,21 @@ def _digest(batches):
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens (with the end id), ids_crc32."""
-    return segments(spark, path).select("start", "data").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _with_starts(spark, path).select("start", "data").mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_at(spark: SparkSession, path: str, positions: list[int]) -> dict[int, int]:
-    """Ids at a few global positions; only the segments that hold them are fetched."""
-    found = {}
+    """Ids at some global positions (a list that fits a filter): one lookup in the directory, one read of the segments that hold them."""
+    inside = F.lit(False)
     for at in positions:
-        hit = segments(spark, path).where((F.col("start") <= at) & (F.col("start") + F.col("n_tokens") > at)).select("start", "data").first()
-        if hit is not None:
-            found[at] = dac.Segment(bytes(hit.data)).token(at - hit.start)
+        inside |= (F.col("start") <= at) & (F.col("end") > at)
+    places = {(r.part, r.seg): r.start for r in directory(spark, path).where(inside).collect()}
+    wanted = F.lit(False)
+    for part, seg in places:
+        wanted |= (F.col("part") == part) & (F.col("seg") == seg)
+    found = {}
+    rows = spark.read.schema(SEGMENT_SCHEMA).parquet(path).where(wanted).select("part", "seg", "n_tokens", "data")
+    for r in rows.toLocalIterator():  # one segment at a time
+        segment, start = dac.Segment(bytes(r.data)), places[r.part, r.seg]
+        found |= {at: segment.token(at - start) for at in positions if start <= at < start + r.n_tokens}
     return found
