@@ -35,12 +35,14 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named in ``spark.checkpoint.dir``; only where that is unset (tests,
-    local runs) a temporary folder is made and set.
+    It is the one named in ``spark.checkpoint.dir``; where that is unset, local runs get a
+    temporary folder, and a cluster an error, as its machines share no such folder.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="runlens-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")

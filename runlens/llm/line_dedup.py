@@ -8,7 +8,8 @@ over each partition decides every run of equal hashes. Only the first and last r
 partition can go on in a neighbour: if such a run is still below the limit, its few
 members (fewer than the limit) and its count are settled afterwards from a table of at
 most two counts a partition. Texts are not moved: the result is a compressed bitmap of
-kept lines per document; ``apply_bitmaps`` joins it to the texts.
+kept lines per document. Who needs the kept text joins bitmaps to texts (``with_bitmaps``),
+which moves both once; ``line_dedup_digest`` and the registered query do that.
 
 ``keep="none"`` drops all lines of a key found in at least ``min_docs`` documents;
 ``keep="first"`` leaves the first occurrence by (doc_id, position).
@@ -200,14 +201,22 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     heads = lines.where(F.col("kind") == HEADER).select("doc_id", "tkey", F.col("pos")[0].alias("n_lines"), F.lit(None).cast("array<int>").alias("pos"))
     both = heads.unionByName(drops.withColumn("n_lines", F.lit(None).cast("int")))
     grouped = both.groupBy("doc_id", "tkey").agg(F.max("n_lines").cast("long").alias("n_lines"), F.collect_list("pos").alias("dropped"))
-    return grouped.mapInArrow(_bitmaps, "doc_id long, tkey long, n_lines long, n_dropped long, keep_bitmap binary")
+    out = written(grouped.mapInArrow(_bitmaps, "doc_id long, tkey long, n_lines long, n_dropped long, keep_bitmap binary"), "bitmaps")
+    forget(lines)
+    forget(decided)
+    return out
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with the bitmap columns; joined by doc_id and text hash, nulls equal."""
-    marked = docs.withColumn("_tkey", F.xxhash64("text"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_tkey") == F.col("tkey"))
-    return marked.join(bitmaps.withColumnRenamed("doc_id", "_doc"), match).drop("_doc", "_tkey", "tkey")
+    """``docs`` with n_lines, n_dropped and keep_bitmap; joined by doc_id and text hash, nulls equal.
+
+    Columns of ``docs`` with these three names give way.
+    """
+    own = ["n_lines", "n_dropped", "keep_bitmap"]
+    marked = docs.drop(*own).withColumn("__text", F.xxhash64("text"))
+    found = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("tkey").alias("__tkey"), *own)
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__tkey"))
+    return marked.join(found, match).drop("__doc", "__text", "__tkey")
 
 
 def kept_text(text: str | None, n_dropped: int, bitmap: bytes) -> str:
@@ -229,6 +238,3 @@ def line_dedup_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     """Counts and the SHA-256 of each document's kept lines."""
     rows = with_bitmaps(docs.select("doc_id", "text"), line_keep_bitmaps(docs, min_docs, min_chars))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_lines", "n_dropped", "keep_bitmap").mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
-
-
-__all__ = ["line_keep_bitmaps", "with_bitmaps", "kept_text", "line_dedup_digest", "forget"]

@@ -1,6 +1,6 @@
 """Operator 10: WARC archives with revisit records for repeated payloads.
 
-Headers (page_id, payload digest, length) are cut from the pages first and shuffled by
+Headers (page_id, payload digest, length, second hash) are cut from the pages first and shuffled by
 digest, after a partial aggregation, so a payload that a third of all pages share is one
 row a task. Of records with equal payloads of at least ``min_bytes`` bytes the one with
 the largest page_id is the response; the join of the rest to it gives their
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session, work_path, written
+from .common import forget, session, work_path, written
 
 ARCHIVE_BYTES = 16 << 20
 SEPARATOR = "\r\n\r\n"
@@ -51,19 +51,20 @@ def base32_sha1(payload):
 
 def captures(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"), F.xxhash64(payload).alias("check"))
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``headers`` (page_id, digest, bytes) with refers_to: the response of a revisit, null for responses.
 
-    Null page_ids take part through a flag, as the least of all.
+    Payloads are equal if digest, length and a second hash are. The largest page_id of
+    equal ones is the response; null, the least, is one only where all are null.
     """
     whole = headers.where(F.col("bytes") >= min_bytes)
-    groups = whole.groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    both = headers.join(groups, "digest", "left")
+    groups = whole.groupBy("digest", "bytes", "check").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    both = headers.join(groups, ["digest", "bytes", "check"], "left")
     revisit = (F.col("bytes") >= min_bytes) & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    return both.select("page_id", "digest", "bytes", F.when(revisit, F.col("response")).alias("refers_to"))
+    return both.select("page_id", "digest", "bytes", "check", F.when(revisit, F.col("response")).alias("refers_to"))
 
 
 def record(page_id, url, html, digest, bytes_, refers_to):
@@ -96,14 +97,15 @@ def write_archives(pages: DataFrame, path: str | None = None, min_bytes: int = 0
     spark = session(pages)
     path = path or work_path(spark, "warc")
     rows = captures(pages)
-    headers = written(rows.select("page_id", "digest", "bytes"), "headers")
+    headers = written(rows.select("page_id", "digest", "bytes", "check"), "headers")
     total = headers.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    resolved = resolve(headers, min_bytes).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to").distinct()
+    resolved = resolve(headers, min_bytes).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), F.col("check").alias("_check"), "refers_to").distinct()
     width = max(1, math.ceil((total.s + 600 * total.n) / ARCHIVE_BYTES))
     # Joined by page, not by payload: pages are many and distinct, so no key is hot.
-    joined = rows.join(resolved, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")))
+    joined = rows.join(resolved, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")) & (F.col("check") == F.col("_check")))
     text = joined.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html"), F.col("digest"), F.col("bytes"), F.col("refers_to")).alias("value"))
     text.select("value").write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", max(1, math.ceil(total.n / width))).text(path)
+    forget(headers)
     return path
 
 
