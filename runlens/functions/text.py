@@ -36,3 +36,24 @@ def spelled_bytes(content: Column) -> Column:
     plain = lambda h: F.decode(F.unhex(h), "US-ASCII")
     printable = lambda h: (h >= "20") & (h < "7F") & (h != "5C")
     return F.array_join(F.transform(pairs, lambda h: F.when(printable(h), plain(h)).otherwise(F.concat(F.lit("\\x"), F.lower(h)))), "")
+
+
+def raw_flags(call: Column) -> Column:
+    """Names of open flags in the text of a raw call, each once, in byte order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(call, F.lit(r"\b(O_[A-Z0-9_]+)\b"), F.lit(1))))
+
+
+def unescaped(text: Column) -> Column:
+    """\\xNN runs as the text they spell; bytes that are no UTF-8 keep their escape."""
+    runs = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"((?:\\x[0-9a-fA-F]{2})+)"), F.lit(1))), lambda a, b: F.length(b) - F.length(a))
+
+    def plain(run: Column) -> Column:
+        content = F.unhex(F.replace(run, F.lit("\\x"), F.lit("")))
+        return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(spelled_bytes(content))
+
+    return F.aggregate(runs, text, lambda out, run: F.replace(out, run, plain(run)))
+
+
+def redacted(text: Column, replacements: list[tuple[str, str]]) -> Column:
+    """Unescaped text with private prefixes replaced, in order."""
+    return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), replacements, unescaped(text))

@@ -47,6 +47,44 @@ CLONE_FLAGS = {
     "CLONE_NEWNET": 0x40000000, "CLONE_IO": 0x80000000,
 }
 
+# Flags that only clone3 or unshare know, by the call that takes them.
+CLONE3_FLAGS = {
+    "CLONE_NEWTIME": 0x80, "CLONE_CLEAR_SIGHAND": 1 << 32, "CLONE_INTO_CGROUP": 1 << 33, "CLONE_AUTOREAP": 1 << 34,
+    "CLONE_NNP": 1 << 35, "CLONE_PIDFD_AUTOKILL": 1 << 36, "CLONE_EMPTY_MNTNS": 1 << 37,
+}
+UNSHARE_FLAGS = {
+    name: bit for name, bit in CLONE_FLAGS.items()
+    if name in ("CLONE_VM", "CLONE_FS", "CLONE_FILES", "CLONE_SIGHAND", "CLONE_THREAD", "CLONE_NEWNS", "CLONE_SYSVSEM", "CLONE_NEWCGROUP", "CLONE_NEWUTS", "CLONE_NEWIPC", "CLONE_NEWUSER", "CLONE_NEWPID", "CLONE_NEWNET")
+} | {"CLONE_NEWTIME": 0x80, "UNSHARE_EMPTY_MNTNS": 0x100000}
+
+# Calls whose path follows a directory argument, whose return value names a path, and the place of argv.
+AT_CALLS = ["openat", "openat2", "faccessat", "faccessat2", "execveat"]
+RETURNS_PATH = ["open", "openat", "openat2"]
+ARGV_AT = {"execve": 1, "execveat": 2}
+
+# Warnings of a raw trace; {} is a line or task given by the rule.
+PARSE_WARNINGS = {
+    "malformed": "malformed line",
+    "pid": "invalid process identifier",
+    "replaced": "replaced unfinished call",
+    "mismatch": "resumed syscall does not match line {}",
+    "unmatched": "unmatched resumed call",
+    "abbreviated": "abbreviated trace data; inspect raw evidence",
+    "status": "unrecognized process status: {}",
+    "event": "unsupported or incomplete event: {}",
+    "exit": "unfinished call from line {} ended with task {} exit; consult raw evidence",
+    "spawn": "task {} unfinished call from line {} predates spawn entry at line {}; consult raw evidence",
+    "newline": "trace ends without newline; possible truncation",
+    "end": "unfinished call at end of trace",
+}
+IDENTITY_WARNINGS = {
+    "Unintroduced": "task {} appeared without a successful spawn",
+    "Reappeared": "task {} appeared after {} exited{} without a successful spawn",
+    "LiveCollision": "successful spawn assigned {} while {} was still live",
+}
+IDENTITY_END = "generation identity is incomplete"
+
+# Names of detail groups and of untrusted origins.
 DETAIL_FAILED = "One-sided unsuccessful file accesses (not necessarily faults)"
 DETAIL_TEMPORARY = "Temporary-looking file paths (heuristic, not ignored)"
 ERRNO_PATTERN = "^E[A-Z0-9_]+$"

@@ -18,8 +18,9 @@ def timeline(events: DataFrame) -> DataFrame:
     actor opens one if none is active. Windows are per (run, pid).
     """
     base = ["pair_id", "run_id", *ORDER]
-    first = F.min(F.struct(*ORDER)).over(Window.partitionBy("run_id"))
-    marked = events.withColumn("is_first", F.struct(*ORDER) == first)
+    # One row a run: combined before the shuffle, and small beside the events.
+    first = events.groupBy("run_id").agg(F.min(F.struct(*ORDER)).alias("first_of_run"))
+    marked = events.join(first, "run_id").withColumn("is_first", F.struct(*ORDER) == F.col("first_of_run")).drop("first_of_run")
     actor = marked.select(*base, F.col("pid").alias("task"), F.lit(0).alias("seq"), F.when(F.col("kind") == "exit", "X").otherwise("A").alias("t"), "is_first")
     child = marked.where("kind = 'spawn' and outcome = 'success' and child_pid is not null").select(*base, F.col("child_pid").alias("task"), F.lit(1).alias("seq"), F.lit("C").alias("t"), F.lit(False).alias("is_first"))
     w = Window.partitionBy("run_id", "task").orderBy(*ORDER, "seq")
@@ -68,10 +69,13 @@ def root_exec(events: DataFrame) -> DataFrame:
 
 
 def exec_before(events: DataFrame) -> DataFrame:
-    """As-of: the latest successful exec path of the same pid at or before each file event."""
-    path = F.when((F.col("kind") == "exec") & (F.col("outcome") == "success"), F.col("path"))
-    w = Window.partitionBy("run_id", "pid").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("exec_path", F.last(path, ignorenulls=True).over(w)).where("kind = 'file'").select("run_id", "event_index", "pid", "exec_path")
+    """As-of: the path of the successful exec of the same pid that was the last to end by the line where a file event begins."""
+    base = ["run_id", "pid", "event_index"]
+    execs = events.where("kind = 'exec' and outcome = 'success'").select(*base, F.col("end_line").alias("at"), F.lit(0).alias("asks"), "path")
+    files = events.where("kind = 'file'").select(*base, F.col("line").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("string").alias("path"))
+    w = Window.partitionBy("run_id", "pid").orderBy("at", "asks", "event_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = execs.union(files).withColumn("exec_path", F.last("path", ignorenulls=True).over(w))
+    return rows.where("asks = 1").select("run_id", "event_index", "pid", "exec_path")
 
 
 def spawn_edges(events: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ def lineage(events: DataFrame) -> DataFrame:
         rows = after
 
 
-def stitched(lines: DataFrame) -> DataFrame:
+def stitched(lines: DataFrame, detail: bool = False) -> DataFrame:
     """Unfinished and resumed halves of calls joined into one observation.
 
     ``lines``: run_id, line, pid, t (U unfinished, R resumed, X exit, C complete), op, and
@@ -105,29 +109,32 @@ def stitched(lines: DataFrame) -> DataFrame:
     most one call is pending: a second U replaces it, R always consumes it, X clears it, and
     so does a spawn of that pid that was entered after it. Whether an interrupted spawn is
     whole depends on earlier lines only, so repeating the pass until its spawns stay the same
-    settles all of them.
+    settles all of them. With ``detail``: ``other``, the line that ended a U or began an R's call,
+    and ``entered``, where the spawn began that cleared a U.
     """
+    spare = ["child"] if detail else ["child", "other", "entered"]
     if "child" not in lines.columns:
-        return _stitched(lines.withColumn("child", F.lit(None).cast("string"))).drop("child")
+        return _stitched(lines.withColumn("child", F.lit(None).cast("string"))).drop(*spare)
     births, before = None, None
     while True:
         out = checkpointed(_stitched(lines, births))
-        births = out.where("child is not null and child <> pid and state in ('complete', 'stitched')").select("run_id", F.col("child").alias("pid"), F.col("end_line").alias("line"), F.col("line").alias("entered"))
+        births = out.where("child is not null and state in ('complete', 'stitched')").select("run_id", F.col("child").alias("pid"), F.col("end_line").alias("line"), F.col("line").alias("entered"))
         now = births.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*births.columns))).first()
         if now == before or not now[0]:
-            return out.drop("child")
+            return out.drop(*spare)
         before = now
 
 
 def _stitched(lines: DataFrame, births: DataFrame | None = None) -> DataFrame:
     """One pass. A birth (run_id, pid, line, entered) acts on its pid if the last control row is a U before ``entered``."""
-    lines = lines.select("run_id", "line", "pid", "t", "op", "child")
-    control = F.when(F.col("t").isin("U", "R", "X"), F.struct("t", "line", "op"))
-    w = Window.partitionBy("run_id", "pid").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.select("run_id", "line", "pid", "t", "op", "child").withColumn("entered", F.lit(None).cast("long"))
+    control = F.when(F.col("t").isin("U", "R", "X"), F.struct("t", "line", "op", "entered"))
+    # A birth comes after the line that returns it.
+    w = Window.partitionBy("run_id", "pid").orderBy("line", F.when(F.col("t") == "K", 1).otherwise(0)).rowsBetween(Window.unboundedPreceding, -1)
     if births is not None:
-        rows = lines.withColumn("entered", F.lit(None).cast("long")).unionByName(births.withColumn("t", F.lit("K")), allowMissingColumns=True).withColumn("last", F.last(control, ignorenulls=True).over(w))
-        lines = rows.where((F.col("t") != "K") | (F.col("last.t").eqNullSafe("U") & (F.col("last.line") < F.col("entered")))).drop("last", "entered")
-    control = F.when(F.col("t").isin("U", "R", "X", "K"), F.struct("t", "line", "op"))
+        rows = lines.unionByName(births.withColumn("t", F.lit("K")), allowMissingColumns=True).withColumn("last", F.last(control, ignorenulls=True).over(w))
+        lines = rows.where((F.col("t") != "K") | (F.col("last.t").eqNullSafe("U") & (F.col("last.line") < F.col("entered")))).drop("last")
+    control = F.when(F.col("t").isin("U", "R", "X", "K"), F.struct("t", "line", "op", "entered"))
     rows = lines.withColumn("last", F.last(control, ignorenulls=True).over(w))
     rows = rows.withColumn("ahead", F.first(control, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     pending = F.col("last.t").eqNullSafe("U")
@@ -138,4 +145,5 @@ def _stitched(lines: DataFrame, births: DataFrame | None = None) -> DataFrame:
     for t, name in ends.items():
         state = state.when(unfinished & (F.col("ahead.t") == t), name)
     start = F.when(state == "stitched", F.col("last.line")).otherwise(F.col("line"))
-    return rows.select("run_id", "pid", "op", start.alias("line"), F.col("line").alias("end_line"), state.alias("state"), "child").where(F.col("state").isNotNull())
+    other = F.when(resumed & pending, F.col("last.line")).when(unfinished, F.col("ahead.line"))
+    return rows.select("run_id", "pid", "op", start.alias("line"), F.col("line").alias("end_line"), state.alias("state"), "child", other.alias("other"), F.when(unfinished, F.col("ahead.entered")).alias("entered")).where(F.col("state").isNotNull())
