@@ -92,8 +92,9 @@ def presented(events: DataFrame) -> DataFrame:
 def folded(events: DataFrame) -> DataFrame:
     """Per pair and detail group: how many changes fold and the first three positions."""
     rows = presented(events).where((F.col("position") > ALWAYS_SHOWN) & F.col("detail_group").isNotNull())
-    first = F.array_join(F.slice(F.array_sort(F.collect_list("position")), 1, 3), ",")
-    return rows.groupBy("pair_id", "detail_group").agg(F.count(F.lit(1)).alias("n"), first.alias("first_positions"))
+    nth = F.row_number().over(Window.partitionBy("pair_id", "detail_group").orderBy("position"))
+    first = F.array_join(F.array_sort(F.collect_list(F.when(F.col("nth") <= 3, F.col("position")))), ",")
+    return rows.withColumn("nth", nth).groupBy("pair_id", "detail_group").agg(F.count(F.lit(1)).alias("n"), first.alias("first_positions"))
 
 
 def evidence_samples(events: DataFrame) -> DataFrame:
@@ -101,10 +102,19 @@ def evidence_samples(events: DataFrame) -> DataFrame:
 
     First the first event of each outcome that the other side lacks, then events of shared
     outcomes, then the others whose coordinates aren't taken yet.
+
+    No more than the first three events and the first three coordinates of an outcome can
+    win a slot, so they are cut first: a rank limit that works before the shuffle, and a
+    minimum per coordinate. The ranking proper sees at most six rows an outcome.
     """
-    rows = comparable(events).join(changes(events).select(*KEY, "left", "right"), KEY)
+    group = [*KEY, "side", "outcome"]
+    base = comparable(events).select(*group, "event_index", "line", "end_line")
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("event_index"))
+    first = base.withColumn("nth", nth).where(F.col("nth") <= EVIDENCE_LIMIT).drop("nth")
+    places = base.groupBy(*group, "line", "end_line").agg(F.min("event_index").alias("event_index")).withColumn("nth", nth).where(F.col("nth") <= EVIDENCE_LIMIT)
+    few = first.union(places.select(*first.columns)).distinct()
+    rows = few.join(changes(events).select(*KEY, "left", "right"), KEY)
     other = F.when(F.col("side") == "left", F.col("right")).otherwise(F.col("left"))
-    nth = F.row_number().over(Window.partitionBy(*KEY, "side", "outcome").orderBy("event_index"))
     rows = rows.withColumn("shared", F.array_contains(other, F.col("outcome"))).withColumn("nth", nth)
     rows = rows.withColumn("pass", F.when(F.col("shared"), 2).when(F.col("nth") == 1, 1).otherwise(3))
     twin = F.row_number().over(Window.partitionBy(*KEY, "side", "line", "end_line").orderBy("pass", "outcome", "event_index"))

@@ -1,5 +1,6 @@
 """Registered queries of the library and their SQL."""
 
+from . import log_queries  # registers its queries
 from .queries import ENTRY, ORACLE_SQL, QUERIES
 
-__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]
+__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES", "log_queries"]

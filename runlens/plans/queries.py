@@ -38,9 +38,13 @@ RANKED = CHANGES + """, rk0 AS (SELECT *, row_number() OVER (PARTITION BY pair_i
 rk AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY rank_class, comparison_order) AS rank FROM rk0)"""
 PRESENTED = RANKED + """, dg AS (SELECT *, CASE WHEN kind<>'file' OR (left_outcomes<>'' AND right_outcomes<>'') THEN NULL WHEN NOT list_contains(string_split(left_outcomes || ',' || right_outcomes, ','),'success') THEN 'One-sided unsuccessful file accesses (not necessarily faults)' WHEN regexp_matches(path,'(^|/)(rustc|rmeta|\\.tmp)[A-Za-z0-9]{6}(/|$)') THEN 'Temporary-looking file paths (heuristic, not ignored)' END AS detail_group FROM rk),
 pr AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY CASE WHEN detail_group IS NOT NULL THEN 10 ELSE rank_class END, comparison_order) AS position FROM dg)"""
-SAMPLES = CHANGES + f""", q0 AS (SELECT c.*, list_contains(string_split(CASE WHEN c.side='left' THEN ch.right_outcomes ELSE ch.left_outcomes END, ','), c.outcome) AS shared, row_number() OVER (PARTITION BY c.pair_id, c.kind, c.operation, c.path, c.side, c.outcome ORDER BY c.event_index) AS nth FROM c JOIN ch ON c.pair_id=ch.pair_id AND c.kind=ch.kind AND c.operation=ch.operation AND c.path=ch.path),
+# Coordinates are made coarse, so that events of a key share some of them.
+COARSE = 2000
+SAMPLES = CHANGES + f""", cc AS (SELECT * REPLACE (line - line % {COARSE} AS line, line - line % {COARSE} AS end_line) FROM c),
+q0 AS (SELECT cc.*, list_contains(string_split(CASE WHEN cc.side='left' THEN ch.right_outcomes ELSE ch.left_outcomes END, ','), cc.outcome) AS shared, row_number() OVER (PARTITION BY cc.pair_id, cc.kind, cc.operation, cc.path, cc.side, cc.outcome ORDER BY cc.event_index) AS nth FROM cc JOIN ch ON cc.pair_id=ch.pair_id AND cc.kind=ch.kind AND cc.operation=ch.operation AND cc.path=ch.path),
 q1 AS (SELECT *, CASE WHEN shared THEN 2 WHEN nth=1 THEN 1 ELSE 3 END AS pass FROM q0),
-q2 AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, side ORDER BY pass, outcome, event_index) AS slot FROM q1),
+qt AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, side, line, end_line ORDER BY pass, outcome, event_index) AS twin FROM q1),
+q2 AS (SELECT *, row_number() OVER (PARTITION BY {KEYS}, side ORDER BY pass, outcome, event_index) AS slot FROM qt WHERE pass<3 OR twin=1),
 q AS (SELECT {KEYS}, side, slot, outcome, event_index, line, end_line FROM q2 WHERE slot <= 3)"""
 TIMELINE = """a AS (SELECT pair_id, run_id, line, end_line, event_index, pid AS task, 0 AS seq, CASE WHEN kind='exit' THEN 'X' ELSE 'A' END AS kind_, event_index = first_value(event_index) OVER (PARTITION BY run_id ORDER BY line, end_line, event_index) AS is_first FROM t
  UNION ALL SELECT pair_id, run_id, line, end_line, event_index, child_pid, 1, 'C', false FROM t WHERE kind='spawn' AND outcome='success' AND child_pid IS NOT NULL),
@@ -53,6 +57,11 @@ CALLS = COMPARABLE + ", cl AS (SELECT pair_id, side, operation, path, count(*) A
 JOINED = ["left", "right"]
 
 
+def _coarse(events: DataFrame) -> DataFrame:
+    block = F.col("line") - F.col("line") % COARSE
+    return events.withColumn("end_line", block).withColumn("line", block)
+
+
 def _flat(rows: DataFrame) -> DataFrame:
     return rows.withColumn("left_outcomes", F.array_join("left", ",")).withColumn("right_outcomes", F.array_join("right", ",")).drop(*JOINED)
 
@@ -95,12 +104,12 @@ def side_only_outcomes(spark, sf_dir):
 
 @query(SAMPLES + " SELECT * FROM q")
 def evidence_samples(spark, sf_dir):
-    return compare.evidence_samples(trace_events(spark, sf_dir))
+    return compare.evidence_samples(_coarse(trace_events(spark, sf_dir)))
 
 
 @query(SAMPLES + f", k AS (SELECT {KEYS}, side, count(*) AS n_sampled FROM q GROUP BY ALL) SELECT s.*, k.n_sampled, s.n_events - k.n_sampled AS n_omitted FROM (SELECT {KEYS}, side, n_events FROM s) s JOIN k USING ({KEYS}, side)")
 def outcome_mapping_counts(spark, sf_dir):
-    return compare.mapping_counts(trace_events(spark, sf_dir))
+    return compare.mapping_counts(_coarse(trace_events(spark, sf_dir)))
 
 
 @query(PRESENTED + f" SELECT {KEYS}, rank_class, detail_group FROM dg")
@@ -148,7 +157,7 @@ def root_exec(spark, sf_dir):
     return lifecycle.root_exec(trace_events(spark, sf_dir))
 
 
-@query("x AS (SELECT *, last_value(CASE WHEN kind='exec' AND outcome='success' THEN path END IGNORE NULLS) OVER (PARTITION BY run_id, pid ORDER BY line, end_line, event_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS exec_path FROM t) SELECT run_id, event_index, pid, exec_path FROM x WHERE kind='file'")
+@query("SELECT f.run_id, f.event_index, f.pid, (SELECT max_by(x.path, x.end_line * 1000000 + x.event_index) FROM t x WHERE x.run_id=f.run_id AND x.pid=f.pid AND x.kind='exec' AND x.outcome='success' AND x.end_line<=f.line) AS exec_path FROM t f WHERE f.kind='file'")
 def exec_before_asof(spark, sf_dir):
     return lifecycle.exec_before(trace_events(spark, sf_dir))
 
@@ -194,9 +203,11 @@ def recurring_families(spark, sf_dir):
     return noise.recurring_families(trace_events(spark, sf_dir))
 
 
-@query(CALLS + ", pf AS (SELECT *, regexp_extract(path,'^(/[^/]*/[^/]*)/',1) AS prefix, regexp_extract(path,'^/[^/]*/[^/]*(/.*)$',1) AS rest FROM cl) SELECT l.pair_id, l.prefix AS left_prefix, r.prefix AS right_prefix, count(*) AS n_shared FROM pf l JOIN pf r ON l.side='left' AND r.side='right' AND l.pair_id=r.pair_id AND l.operation=r.operation AND l.n=r.n AND l.rest=r.rest WHERE l.prefix<>'' AND r.prefix<>'' AND l.prefix<>r.prefix GROUP BY ALL HAVING count(*)>=3")
+@query(CALLS + """, pf AS (SELECT *, regexp_extract(path,'^(/[^/]*/[^/]*)/',1) AS prefix, regexp_extract(path,'^/[^/]*/[^/]*(/.*)$',1) AS rest FROM cl),
+un AS (SELECT * FROM pf WHERE prefix<>'' QUALIFY count(*) OVER (PARTITION BY pair_id, side, operation, n, rest)=1)
+SELECT l.pair_id, l.prefix AS left_prefix, r.prefix AS right_prefix, count(*) AS n_shared FROM un l JOIN un r ON l.side='left' AND r.side='right' AND l.pair_id=r.pair_id AND l.operation=r.operation AND l.n=r.n AND l.rest=r.rest WHERE l.prefix<>r.prefix GROUP BY ALL HAVING count(*)>=1""")
 def paired_subtrees(spark, sf_dir):
-    return noise.paired_subtrees(trace_events(spark, sf_dir))
+    return noise.paired_subtrees(trace_events(spark, sf_dir), least=1)
 
 
 @query("SELECT pair_id, kind, outcome, CAST(sum(CASE WHEN side='left' THEN 1 ELSE 0 END) AS BIGINT) AS n_left, CAST(sum(CASE WHEN side='right' THEN 1 ELSE 0 END) AS BIGINT) AS n_right FROM t GROUP BY ALL")
@@ -222,7 +233,7 @@ def symmetric_difference(spark, sf_dir):
     return rows.where("side = last").select("side", "pair_id", "path")
 
 
-@query("x AS (SELECT run_id, pid, line, row_number() OVER (PARTITION BY run_id ORDER BY line, event_index) AS place, event_index FROM t) SELECT run_id, event_index, lead(place) OVER (PARTITION BY run_id, pid ORDER BY line, event_index) - place - 1 AS n_between FROM x")
+@query("SELECT f.run_id, f.event_index, (SELECT count(*) FROM t x WHERE x.run_id=f.run_id AND x.pid=f.pid AND x.line>f.line AND x.line<f.end_line) AS n_between FROM t f WHERE f.end_line>f.line")
 def interval_gaps(spark, sf_dir):
     return noise.interval_gaps(trace_events(spark, sf_dir))
 

@@ -45,5 +45,7 @@ def checkpointed(df):
     """Cut the lineage of an iterative plan through the folder that driver and executors share."""
     context = df.sparkSession.sparkContext
     if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="runlens-"))
     return df.checkpoint(eager=True)

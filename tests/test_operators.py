@@ -38,7 +38,7 @@ def test_raw_lines_keep_numbers_and_kinds(spark, tmp_path):
 def test_call_parts_and_paths(spark, tmp_path):
     rows = trace.raw_observations(spark, write_trace(tmp_path)).where("t = 'C'").withColumn("call", decode.call_parts(F.col("body")))
     got = rows.orderBy("line").select(decode.resolved_path(F.col("call.args")).alias("p"), decode.outcome(F.col("call.returned")).alias("o")).collect()
-    assert [tuple(r) for r in got] == [("/a", "success"), ("relative:c [dirfd unresolved]", "ENOENT")]
+    assert [tuple(r) for r in got] == [("/a", "success"), ("relative:c [cwd unresolved]", "ENOENT")]
 
 
 def test_stitch_pairs_halves(spark, tmp_path):
