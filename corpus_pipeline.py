@@ -3,13 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and reread as the next stage's docs; all but the last return the columns of
 documents. Stages judge their own input: later stages count over what earlier ones kept.
+A stage's input is deleted once its output is written; the last stage reads its own files.
+
+Defined cases: null, empty and short texts fail the quality rules and go; of rows that link
+(also rows repeated or without a doc_id) one stays; rows that hold a benchmark item go;
+repeated rows share the passes of their group; a null doc_id sorts first in the output; an
+empty table gives no rows at any stage; columns beside those of documents are carried.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm.common import table, written
+from runlens.llm.common import forget, table, written
 from runlens.llm.decontamination import decontaminated
 from runlens.llm.jaccard_join import one_of_each
 from runlens.llm.mixing import mixed_documents
@@ -52,6 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, written(stage(spark, docs, sf_dir), "stage")
+        forget(before)  # deletes only work tables, never the documents
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    forget(docs)
+    return out
