@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -63,7 +64,7 @@ def forget(df: DataFrame) -> None:
     """Delete a table made by :func:`written` once nothing will read it again."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/runlens-" in name:
+        if re.search("/runlens-[a-z]+-[0-9a-f]{32}$", name):
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
