@@ -12,6 +12,7 @@ from runlens.sources.adapter import trace_events
 
 from .queries import query
 
+
 def spelled(content: Column) -> Column:
     """A quoted argument with every byte as \\xNN."""
     return F.concat(F.lit('"'), F.regexp_replace(F.lower(F.hex(F.encode(content, "UTF-8"))), "(..)", r"\\x$1"), F.lit('"'))
