@@ -10,7 +10,7 @@ heads and tails only. Coverage is the share of the template's words that are ali
 Windows start at 2.5 times the template's length. Where none is accepted although the
 whole text has the words (as many of the template's and all of an identity's), they double
 until one window is the whole text, so a notice is found however far it is spread; where
-one is accepted in part, the next width is tried as well.
+one is accepted below ``GOOD``, the next width is tried as well.
 
 A window counts only if it holds the template's ``IDENTITY``: phrases that
 tell it from its relatives (name, variant, version, distinguishing clause). A phrase is
@@ -45,6 +45,8 @@ from .common import session
 from .license_texts import TEXTS
 
 MIN_COVERAGE = 0.8
+#: From this coverage on, no wider window is tried: it would reach into the next notice.
+GOOD = 0.95
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 #: From this many words on, a template is compared with the word counts of the whole text first.
@@ -312,7 +314,7 @@ class Scanner:
                 while not hits and reach < len(words) and self.possible(name, counts):
                     reach *= 2
                     hits = self.hits(name, words, at, reach)
-            if hits and reach < len(words) and -min(hits)[0] < len(self.templates[name]):
+            if hits and reach < len(words) and -min(hits)[0] < GOOD * len(self.templates[name]):
                 hits = hits + self.hits(name, words, at, 2 * reach)  # a notice cut by its window aligns better in a wider one
             found += hits
         won: list[tuple[str, int, int]] = []
