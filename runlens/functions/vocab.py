@@ -113,6 +113,17 @@ CONTEXT_REASONS = {
     "argv": "execution arguments incomplete",
 }
 
+# Texts of capture warnings.
+CAPTURE_WARNINGS = {
+    "read": "cannot read trace: ",
+    "signal": "unrecognized target termination signal",
+    "missing": "process completion not observed for PIDs: ",
+    "root": "root process completion not observed; capture incomplete",
+    "collector": "collector status does not confirm target completion",
+    "duration": "capture duration limit exceeded (limit: %d ms)",
+    "bytes": "capture trace byte limit exceeded (observed: %d bytes, limit: %d bytes)",
+}
+
 # Names of the provenance contracts.
 SELECTION_RULE = "first_successful_exec_evidence_order_v1"
 IDENTITY_CONTRACT = "task_generations_evidence_order_v1"

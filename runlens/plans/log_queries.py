@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions import decode, text
-from runlens.operators import parse
+from runlens.operators import capture, parse
 from runlens.sources import trace
 from runlens.sources.adapter import trace_events
 
@@ -193,3 +193,41 @@ def list_rows(spark, sf_dir):
     rows = trace.list_json(trace.loaded(stored_files(spark, sf_dir)))
     at = lambda path: F.get_json_object("json", path)
     return rows.select("run_id", at("$.name").alias("name"), at("$.storage_integrity.status").alias("status"), at("$.state").alias("state"), at("$.raw_integrity.status").alias("raw"))
+
+
+DECISIONS = """WITH f AS (SELECT o_orderkey AS o, CASE WHEN o % 5=0 THEN NULL WHEN o % 7=1 THEN '+++ killed by SIGODD +++' WHEN o % 7=2 THEN '+++ killed by SIGTERM +++' ELSE '+++ exited with ' || (o % 3) || ' +++' END AS raw,
+ CASE WHEN o % 5<>0 AND o % 7 NOT IN (1,2) THEN o % 3 END AS tc, CASE WHEN o % 5<>0 AND o % 7=2 THEN 15 END AS ts, CASE WHEN o % 11=0 THEN 'start refused' WHEN o % 11=1 THEN 'wait failed' END AS reason,
+ CASE WHEN o % 11 > 1 AND o % 13<>0 THEN CASE WHEN o % 13=1 THEN 3 WHEN o % 7<>2 THEN o % 3 END END AS cc, CASE WHEN o % 11 > 1 AND o % 13 > 1 AND o % 7=2 THEN 15 END AS cs,
+ CASE WHEN o % 17=0 THEN 2 END AS rs, CASE WHEN o % 19=0 THEN 'supervision lost' END AS lost FROM orders),
+d AS (SELECT l_orderkey AS o, l_partkey AS ms, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_linenumber % 4=3),
+b AS (SELECT l_orderkey AS o, l_suppkey * 20 AS seen, l_partkey AS lim, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_suppkey DESC, l_partkey DESC) AS n FROM lineitem WHERE l_linenumber % 4<>3 AND l_suppkey * 20 > l_partkey),
+x AS (SELECT f.*, d.ms, b.seen, b.lim, (cc IS NULL AND cs IS NULL) OR (coalesce(tc,ts) IS NOT NULL AND (cc IS DISTINCT FROM tc OR cs IS DISTINCT FROM ts)) AS un FROM f LEFT JOIN d ON d.o=f.o AND d.n=1 LEFT JOIN b ON b.o=f.o AND b.n=1),
+y AS (SELECT *, CASE WHEN rs IS NOT NULL THEN 'interrupted' WHEN raw IS NULL OR reason IS NOT NULL OR un OR ms IS NOT NULL OR lim IS NOT NULL OR lost IS NOT NULL THEN 'capture_failed' ELSE 'completed' END AS state,
+ concat_ws('|', CASE WHEN o % 3=0 THEN 'p' END, CASE WHEN o % 23=0 THEN 'cannot read trace: gone' END, CASE WHEN o % 5<>0 AND o % 7=1 THEN 'unrecognized target termination signal' END, CASE WHEN o % 4=0 THEN 'process completion not observed for PIDs: 7, 9:2' END,
+  CASE WHEN raw IS NULL THEN 'root process completion not observed; capture incomplete' END, CASE WHEN reason IS NOT NULL THEN reason WHEN un THEN 'collector status does not confirm target completion' END,
+  'capture duration limit exceeded (limit: ' || ms || ' ms)', 'capture trace byte limit exceeded (observed: ' || seen || ' bytes, limit: ' || lim || ' bytes)', lost) AS warnings FROM x)
+SELECT o AS run_id, state, warnings, CASE WHEN state<>'completed' THEN 'incomplete' WHEN warnings='' THEN 'complete_for_supported_events' ELSE 'partial' END AS completeness, raw AS target_exit_raw, CAST(tc AS BIGINT) AS exit_code, CAST(ts AS BIGINT) AS signal, CAST(cc AS BIGINT) AS collector_exit_code, CAST(cs AS BIGINT) AS collector_signal,
+ CAST(CASE state WHEN 'interrupted' THEN 128+rs WHEN 'capture_failed' THEN 125 ELSE coalesce(tc,128+ts,cc,128+cs,125) END AS INT) AS cli_exit, CASE WHEN o % 29=0 THEN 'suppressed_length_unverified' WHEN lim IS NOT NULL THEN 'suppressed_byte_limit' ELSE 'parse' END AS admission FROM y"""
+
+
+@query(DECISIONS, adapted=False)
+def capture_decision(spark, sf_dir):
+    """Facts of a capture per order, its limits observed by the order's lines."""
+    o, n = F.col("o_orderkey"), F.col("l_linenumber")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    seen = lines.select(F.col("l_orderkey").alias("run_id"), n.alias("seq"), F.when(n % 4 == 3, "duration").otherwise("bytes").alias("kind"), (F.col("l_suppkey") * 20).alias("observed"), F.col("l_partkey").alias("limit"))
+    known, reaped = o % 5 != 0, o % 11 > 1
+    odd, term = o % 7 == 1, o % 7 == 2
+    words = lambda *w: F.array(*map(F.lit, w))
+    given = {
+        "target_raw": F.when(known, F.when(odd, "+++ killed by SIGODD +++").when(term, "+++ killed by SIGTERM +++").otherwise(F.concat(F.lit("+++ exited with "), (o % 3).cast("string"), F.lit(" +++")))),
+        "target_code": F.when(known & ~odd & ~term, o % 3), "target_signal": F.when(known & term, 15).cast("long"),
+        "collector": F.when(o % 11 == 0, "not_started").when(o % 11 == 1, "failed").otherwise("reaped"), "collector_reason": F.when(o % 11 == 0, "start refused").when(o % 11 == 1, "wait failed"),
+        "collector_code": F.when(o % 13 == 1, 3).when((o % 13 > 1) & ~term, o % 3).cast("long"), "collector_signal": F.when((o % 13 > 1) & term, 15).cast("long"),
+        "recorder_signal": F.when(o % 17 == 0, 2), "supervision_error": F.when(o % 19 == 0, "supervision lost"), "read_error": F.when(o % 23 == 0, "gone"),
+        "missing": F.when(o % 4 == 0, words("7", "9:2")), "warnings": F.when(o % 3 == 0, words("p")),
+    }
+    runs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(o.alias("run_id"), *(v.alias(k) for k, v in given.items()))
+    facts = runs.join(capture.limit_facts(seen), "run_id", "left")
+    admitted = facts.select("run_id", capture.admission(F.col("run_id") % 29 == 0).alias("admission"))
+    return capture.decide(facts).withColumn("warnings", F.array_join("warnings", "|")).join(admitted, "run_id")
