@@ -134,3 +134,27 @@ FOLDED_NOTE = " changes folded; all changes, paths and outcome sets remain in --
 REPORT_END = "Observed changes are investigation clues, not proof of a root cause."
 PATH_NOTE = "Path semantics: absolute spellings are recorded syscall/strace observations, not physical identity guarantees; relative paths stay uncertain. Older records may contain historical CWD-derived spellings; consult raw evidence."
 CWD_NOTE = "  Last observed CWD (context only, not a current physical path): "
+
+# Contradictions between saved rows, lifetimes and target provenance.
+REPLAY_ERRORS = {
+    "rows": [
+        "saved actor generation contradicts its observed lifetime",
+        "untrusted saved task lifetime lost its identity uncertainty",
+        "saved child generation lacks its next introduction",
+        "colliding spawn lost its saved identity uncertainty",
+    ],
+    "open": "saved task lifetimes without exits require a warning and reduced completeness",
+    "doubtful": "saved identity limitations require a warning and reduced completeness",
+    "absent": "saved root exit requires target outcome and provenance",
+    "bounds": "target provenance index is out of bounds",
+    "coordinates": "target provenance changed original evidence coordinates",
+    "lifetime": "target provenance references another task lifetime",
+    "root": "target provenance contradicts frozen root exec selection",
+    "exit": "target outcome does not reference the selected lifetime exit",
+}
+
+# Categories of saved warnings by the text after their place.
+TAXONOMY = {
+    "cwd.path_unresolved": r"^raw/trace\.log:[0-9]+: path context unresolved;",
+    "fs.context": r"^raw/trace\.log:[1-9][0-9]*: fs\.context:",
+}

@@ -152,3 +152,11 @@ def candidate_view(events: DataFrame) -> DataFrame:
     every = compare.presented(events).select("pair_id", (c("position") - 1).alias("index")).join(inside, ["pair_id", "index"], "left")
     alone = F.when(c("group_id").isNull(), c("index"))
     return every.groupBy("pair_id", "group_id", alone.alias("alone")).agg(F.min("index").alias("raw_index"), F.count(F.lit(1)).alias("n_changes")).drop("alone")
+
+
+def group_details(events: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Every event behind the members of each group, with its program, its parent's and its flags."""
+    groups = candidate_groups(events) if groups is None else groups
+    inside = groups.select("pair_id", "group_id", F.explode("members").alias("index"))
+    members = compare.presented(events).select(*compare.KEY, (c("position") - 1).alias("index")).join(inside, ["pair_id", "index"])
+    return actors(events).join(members, compare.KEY).select("pair_id", "group_id", "index", "side", "operation", "path", "event_index", "actor", "parent", "flags", "outcome")

@@ -11,13 +11,14 @@ from runlens.session import checkpointed
 ORDER = ["line", "end_line", "event_index"]
 
 
-def timeline(events: DataFrame) -> DataFrame:
+def timeline(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per appearance of a pid: as actor (A, or X at its exit) and as introduced child (C).
 
     ``ordinal`` numbers the pid's generations: a child introduction always opens one, an
-    actor opens one if none is active. Windows are per (run, pid).
+    actor opens one if none is active. Windows are per (run, pid). Columns named in ``carry``
+    come along from the event of each row.
     """
-    base = ["pair_id", "run_id", *ORDER]
+    base = ["pair_id", "run_id", *ORDER, *carry]
     # One row a run: combined before the shuffle, and small beside the events.
     first = events.groupBy("run_id").agg(F.min(F.struct(*ORDER)).alias("first_of_run"))
     marked = events.join(first, "run_id").withColumn("is_first", F.struct(*ORDER) == F.col("first_of_run")).drop("first_of_run")

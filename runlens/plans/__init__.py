@@ -1,6 +1,6 @@
 """Registered queries of the library and their SQL."""
 
-from . import log_queries  # registers its queries
+from . import audit_queries, log_queries  # register their queries
 from .queries import ENTRY, ORACLE_SQL, QUERIES
 
-__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES", "log_queries"]
+__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES", "audit_queries", "log_queries"]
