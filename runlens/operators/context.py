@@ -2,8 +2,8 @@
 
 Contexts are shared, split and made uncertain by earlier events of other processes, and
 uncertainty reaches back to events already seen, so no window expresses it. Runs are
-independent: ``applyInPandas`` per run keeps them parallel, and a run is bounded by its
-event budget.
+independent: ``applyInPandas`` per run keeps them parallel. A run over MAX_EVENTS isn't loaded
+into one task: each of its events keeps its row, uncertain and with a warning that says so.
 
 A call that spans lines opens a window on its context: until it closes, nobody can say on
 which side of it another member's event falls. There are three kinds: a directory change
@@ -26,6 +26,9 @@ from runlens.session import ship_package
 
 from .lifecycle import timeline
 
+#: Events of one run that the machine takes into one task; the budget of a saved run.
+MAX_EVENTS = 1_000_000
+
 SCHEMA = "run_id string, event_index long, cwd_before string, context_uncertain boolean, warnings array<string>"
 
 
@@ -219,4 +222,9 @@ def context_state(events: DataFrame, initial_cwd: str | None = "/") -> DataFrame
     argv_missing = F.col("argv").isNull() if "argv" in events.columns else F.lit(False)
     events = events.select("run_id", "event_index", "line", "end_line", "pid", "kind", "operation", "path", "outcome", "child_pid", effect.alias("effect"), argv_missing.alias("argv_missing"))
     full = events.join(actors, ["run_id", "event_index"]).join(births, ["run_id", "event_index"], "left").withColumn("collision", F.coalesce("collision", F.lit(False)))
-    return full.groupBy("run_id").applyInPandas(lambda part: resolve(part, initial_cwd), SCHEMA)
+    counts = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
+    full, limit = full.join(counts, "run_id"), F.lit(MAX_EVENTS)
+    done = full.where(F.col("_n") <= limit).drop("_n").groupBy("run_id").applyInPandas(lambda part: resolve(part, initial_cwd), SCHEMA)
+    said = F.concat(F.lit("context unknown: the run has "), F.col("_n").cast("string"), F.lit(f" events, more than {MAX_EVENTS}"))
+    beyond = events.join(counts, "run_id").where(F.col("_n") > limit)
+    return done.union(beyond.select("run_id", "event_index", F.lit(None).cast("string"), F.lit(True), F.array(said)))

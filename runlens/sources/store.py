@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +20,14 @@ def jsonl(events: DataFrame) -> DataFrame:
 
 
 def save_run(root: str, run_id: str, metadata: dict, lines: list[str]) -> None:
-    """Write one run on a local store: events, metadata, read-back, then the marker."""
+    """Write one run on a local store: events, metadata, each read back, then the marker."""
     import os
 
+    from .ingest import document, publish
+
     folder = f"{root}/runs/{run_id}"
     os.makedirs(folder)
-    checks = {}
-    for name, data in (("events.jsonl", "".join(x + "\n" for x in lines)), ("metadata.json", json.dumps(metadata))):
-        with open(f"{folder}/{name}.part", "wb") as out:
-            out.write(data.encode())
-            out.flush()
-            os.fsync(out.fileno())
-        os.replace(f"{folder}/{name}.part", f"{folder}/{name}")
-        with open(f"{folder}/{name}", "rb") as back:
-            seen = back.read()
-        if seen != data.encode():
-            raise OSError(f"{name} of {run_id} doesn't read back as written")
-        checks[name] = {"bytes": len(seen), "sha256": hashlib.sha256(seen).hexdigest()}
-    marker = {"schema_version": 1, "run_id": run_id, "event_count": len(lines), "events": checks["events.jsonl"], "metadata": checks["metadata.json"]}
-    with open(f"{folder}/finalized.json", "w") as out:
-        json.dump(marker, out)
+    events = publish(f"{folder}/events.jsonl", (x.encode() + b"\n" for x in lines))
+    saved = publish(f"{folder}/metadata.json", document(metadata))
+    marker = {"schema_version": 1, "run_id": run_id, "event_count": len(lines), "events": events, "metadata": saved}
+    publish(f"{folder}/finalized.json", document(marker))

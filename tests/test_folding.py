@@ -49,3 +49,9 @@ def test_paired_subtree(spark):
 def test_files_without_a_new_write_stay(spark):
     left, right = run("left", "10", ["/o/x-aaaa.o"], ["O_RDONLY"]), run("right", "70", [], ["O_RDONLY"])
     assert folding.eligible(spark.createDataFrame(left + right, SCHEMA)).count() == 0
+
+
+def test_details_name_every_event_of_a_group(spark):
+    df = frame(spark, ["/o/x-aaaa.o", "/o/x-bbbb.o"], ["/o/x-cccc.o", "/o/x-dddd.o"])
+    got = folding.group_details(df).collect()
+    assert sorted((r.group_id, r.side, r.path, r.actor, r.parent) for r in got) == [("G1", s, f"/o/x-{v}.o", "/bin/cc", "/bin/sh") for s, v in (("left", "aaaa"), ("left", "bbbb"), ("right", "cccc"), ("right", "dddd"))]
