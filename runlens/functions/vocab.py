@@ -158,3 +158,12 @@ TAXONOMY = {
     "cwd.path_unresolved": r"^raw/trace\.log:[0-9]+: path context unresolved;",
     "fs.context": r"^raw/trace\.log:[1-9][0-9]*: fs\.context:",
 }
+
+# Metadata fields that a change of metadata compares.
+METADATA_FIELDS = {
+    "InitialWorkingDirectory": ["metadata.cwd"],
+    "CommandArguments": ["metadata.command"],
+    "CaptureCompleteness": ["metadata.state", "metadata.completeness", "metadata.warnings"],
+    "SelectedStartupEnvironment": ["metadata.environment"],
+    "ExitStatus": ["metadata.exit_code", "metadata.signal", "metadata.target_exit_raw"],
+}

@@ -105,6 +105,13 @@ def warnings(rows: DataFrame) -> Column:
     return F.when(c("comparable"), F.array_compact(F.array(*new, *old))).otherwise(F.array().cast("array<string>"))
 
 
+def visible(good: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of the comparable pairs, without those that format 6 withholds."""
+    held = good.select("pair_id", *((c(f"{s}.storage") == "unfinalized").alias(f"{s}_held") for s in SIDES), "format")
+    hidden = (c("format") == 6) & F.when(c("side") == "left", c("left_held")).otherwise(c("right_held"))
+    return events.join(held, "pair_id").where(~hidden).drop("left_held", "right_held", "format")
+
+
 def changes(heads: DataFrame, events: DataFrame) -> DataFrame:
     """All changes of the comparable pairs, ranked and in presentation order, with evidence samples.
 
@@ -112,9 +119,7 @@ def changes(heads: DataFrame, events: DataFrame) -> DataFrame:
     """
     good = heads.where("comparable")
     meta = metadata_changes(good).select("pair_id", F.lit(0).alias("section"), "seq", *(F.lit("").alias(k) for k in compare.KEY[1:]), "change", "subject", "left", "right")
-    held = good.select("pair_id", *((c(f"{s}.storage") == "unfinalized").alias(f"{s}_held") for s in SIDES), "format")
-    hidden = (c("format") == 6) & F.when(c("side") == "left", c("left_held")).otherwise(c("right_held"))
-    seen = events.join(held, "pair_id").where(~hidden).drop("left_held", "right_held", "format")
+    seen = visible(good, events)
     found = compare.changes(seen)
     seen_rows = found.select("pair_id", F.lit(1).alias("section"), F.lit(0).alias("seq"), *compare.KEY[1:], "change", F.concat("path", F.lit(" ("), "operation", F.lit(")")).alias("subject"), "left", "right", "rank_class")
     first = F.when(c("change") == "ExitStatus", 0).when(c("change") == "CaptureCompleteness", 1).otherwise(2)
@@ -147,7 +152,7 @@ def finished(heads: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("exit_code", status).withColumn("report_warnings", warnings(rows)).withColumn("observed", F.when(c("comparable"), c("n_changes") > 0))
 
 
-def text(done: DataFrame, found: DataFrame) -> DataFrame:
+def text(done: DataFrame, found: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
     """The report's lines: pair_id, line_no, line."""
     lines = lambda *parts: F.array_compact(F.array(*parts))
     both = lambda label, f: F.concat(F.lit(f"{label}: left="), f("left"), F.lit(", right="), f("right"))
@@ -173,6 +178,11 @@ def text(done: DataFrame, found: DataFrame) -> DataFrame:
     outcome = lambda s: F.when(F.size(s) == 0, "(not observed)").otherwise(F.array_join(s, ", "))
     evidence = lambda s: F.transform(f"{s}_evidence", lambda e: F.concat(F.lit("  evidence: runs/"), c(f"{s}_id"), F.lit("/"), e["file"], F.lit(":"), e["line"].cast("string"), F.lit("-"), e["end_line"].cast("string")))
     body = F.concat(lines(F.lit(""), c("category"), F.when(c("subject") != "", F.concat(F.lit("  "), "subject")), F.concat(F.lit("  "), outcome("left"), F.lit(" → "), outcome("right"))), evidence("left"), evidence("right"))
+    if mapped is not None:
+        from .evidence import mapping_lines
+
+        shown = shown.join(mapped, ["pair_id", "position"], "left")
+        body = F.concat(body, F.coalesce(mapping_lines(c("evidence_mapping")), F.array().cast("array<string>")))
     folded = found.where(folds).groupBy("pair_id", "detail_group").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("position")), 1, 3), ", ").alias("first"))
     folded = folded.join(done.select("pair_id", "format"), "pair_id").withColumn("place", F.when(c("detail_group") == DETAIL_FAILED, 0).otherwise(1))
     note = lines(F.lit(""), F.concat(F.lit("Detail group: "), "detail_group"), F.concat(F.lit("  "), c("n").cast("string"), F.lit(FOLDED_NOTE + "["), "first", F.lit("]")), F.when(c("format") == 6, "  Folded evidence mappings and all applicable references remain in --json."))
@@ -181,9 +191,15 @@ def text(done: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("pair_id", F.row_number().over(order).cast("long").alias("line_no"), "line")
 
 
-def json(done: DataFrame, found: DataFrame) -> DataFrame:
-    """One JSON document per pair in the field order of the format: pair_id, value."""
-    item = F.struct("position", F.struct("category", "subject", "detail_group", "left", "right", "left_evidence", "right_evidence").alias("change"))
+def json(done: DataFrame, found: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
+    """One JSON document per pair in the field order of the format: pair_id, value.
+
+    With ``mapped`` (``evidence.evidence_mappings``) the changes of format 6 carry theirs.
+    """
+    fields = ["category", "subject", "detail_group", "left", "right", "left_evidence", "right_evidence"]
+    if mapped is not None:
+        found, fields = found.join(mapped, ["pair_id", "position"], "left"), [*fields, "evidence_mapping"]
+    item = F.struct("position", F.struct(*fields).alias("change"))
     listed = found.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(item), lambda a, b: a["position"] - b["position"]), lambda x: x["change"]).alias("changes"))
     kind = listed.schema["changes"].dataType
     rows = done.join(listed, "pair_id", "left").withColumn("changes", F.coalesce("changes", F.array().cast(kind)))
@@ -194,7 +210,7 @@ def json(done: DataFrame, found: DataFrame) -> DataFrame:
         fields = [
             c("format").alias("schema_version"), c("observed").alias("observed_differences"), F.struct(quality("left"), quality("right")).alias("reliability"), "exit_code", "errors",
             F.coalesce("left.name", F.lit("")).alias("left"), F.coalesce("right.name", F.lit("")).alias("right"), known("left", "id").alias("left_id"), known("right", "id").alias("right_id"),
-            "changes", c("report_warnings").alias("warnings"),
+            (c("changes") if contract or mapped is None else F.transform("changes", lambda x: x.dropFields("evidence_mapping"))).alias("changes"), c("report_warnings").alias("warnings"),
         ]
         if new:
             fields.append(F.struct(*(F.when(c(s)["error"].isNull(), c(s)["target_provenance"]).alias(s) for s in SIDES)).alias("target_provenance"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.operators import records, report
+from runlens.operators import evidence, records, report
 from runlens.operators.contracts import first_failure
 from runlens.sources.trace import METADATA
 
@@ -191,3 +191,33 @@ def test_show_lines(spark):
 def test_recorded_lines(spark):
     df = spark.createDataFrame([("a1-1", 'n"', "completed", 3, ["w"], "/e")], "run_id string, name string, state string, event_count long, warnings array<string>, evidence_dir string")
     assert [r.line for r in report.recorded_lines(df).orderBy("at").collect()] == ['Recorded "n\\"": a1-1 (completed, 3 events, 1 warnings)', "Evidence: /e", "warning: w"]
+
+
+def test_format_6_maps_changes_to_their_events(spark):
+    rows = [{}, *({"event_index": i, "line": i + 1, "end_line": i + 1, "side": "right", "outcome": o} for i, o in enumerate(["ENOENT"] * 4 + ["EPERM"]))]
+    df = events(spark, *rows)
+    done, found = report.report(sides(spark, {}, {"side": "right", "id": "f18-32", "cwd": "/v"}), df, 6)
+    mapped = evidence.evidence_mappings(done, found, df)
+    changes = {x["category"]: x["evidence_mapping"] for x in json.loads(report.json(done, found, mapped).first().value)["changes"]}
+    cwd, file = changes["Initial working directory"], changes["File access outcome changes"]
+    assert cwd["observation"] is None and cwd["left"] == {"source": "metadata", "metadata_fields": ["metadata.cwd"], "event_count": None, "sample_event_indices": [], "sample_count": 0, "omitted_sample_count": None, "outcomes": []}
+    right = file["right"]
+    assert (file["observation"]["path"], right["source"], right["event_count"], right["sample_count"], right["omitted_sample_count"]) == ("/srv/rates.csv", "normalized_events", 5, 3, 2)
+    assert [(o["outcome"], o["event_count"], [e["index"] for e in o["events"]]) for o in right["outcomes"]] == [("ENOENT", 4, [0, 1, 2, 3]), ("EPERM", 1, [4])]
+    assert sorted(right["sample_event_indices"]) == [0, 1, 4]
+    got = [r.line for r in report.text(done, found, mapped).orderBy("line_no").collect()]
+    assert "  left evidence: source=metadata, events=N/A, sampled=0, omitted_from_sample=N/A" in got and "    metadata fields: metadata.cwd" in got
+    assert "  right evidence: source=normalized_events, events=5, sampled=3, omitted_from_sample=2" in got and "    outcome EPERM: 1 events (all references in --json)" in got
+
+
+def test_format_6_withheld_sides_and_proven_exits(spark):
+    right = NEW | {"side": "right", "id": "f18-32", "manifest": NEW["manifest"] | {"run_id": "f18-32"}, "exit_code": 1, "collector_exit_code": 1, "target_exit_raw": "+++ exited with 1 +++"}
+    df = events(spark)
+    done, found = report.report(sides(spark, NEW, right), df, 6)
+    row = evidence.evidence_mappings(done, found, df).first().evidence_mapping
+    assert (row.left.source, row.left.sample_event_indices, row.right.outcomes[0].events[0]["index"], row.right.omitted_sample_count) == ("target_provenance", [1], 1, 0)
+    waiting = {"storage": "unfinalized", "state": "running", "completeness": "pending", "ended": None, "exit_code": None, "collector_exit_code": None, "target_exit_raw": None, "parsed_events": 0, "raw_lines": 0, "n_events": 0, "has_non_v3": None, "max_line": None}
+    df = events(spark, {"side": "right"})
+    done, found = report.report(sides(spark, waiting, {"side": "right", "id": "f18-32"}), df, 6)
+    got = {r.change: r.evidence_mapping for r in evidence.evidence_mappings(done, found, df).join(found.select("position", "change"), "position").collect()}
+    assert {m.left.source for m in got.values()} == {"withheld"} and got["NewFileAccess"].left.event_count is None and got["NewFileAccess"].right.event_count == 1
