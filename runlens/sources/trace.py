@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions import decode
+from runlens.operators import records
 from runlens.operators.contracts import first_failure
 from runlens.operators.parse import Parsed, parse
+from runlens.operators.provenance import provenance_errors
 
 MAX_WHOLE = 256 << 20
 #: Limits of a file by name, of one line, and of the JSON values of one document.
@@ -245,7 +247,29 @@ def loaded(rows: DataFrame) -> DataFrame:
     waiting = (F.col("storage") == "unfinalized") & (version == 4)
     raw = F.when(judged, F.coalesce(pick(promised, 1), F.lit("verified"))).when(waiting, "unverified")
     said = F.when(judged, F.coalesce(F.when(receipt["status"] == "unverified", receipt["reason"]), pick(promised, 2), F.lit("saved raw bytes match their receipt"))).when(waiting, "no bound final marker; raw normalization-stream receipt is unverified")
-    return rows.select("run_id", "record", "storage", "detail", raw.alias("raw_status"), said.alias("raw_detail"), "m")
+    return rows.select("run_id", "record", "storage", "detail", raw.alias("raw_status"), said.alias("raw_detail"), "m", F.col("r").alias("manifest"))
+
+
+def contracted(spark: SparkSession, root: str) -> DataFrame:
+    """The load decision of all records with their contracts: run_id, record, storage, detail, raw_status, raw_detail.
+
+    Only what loads by its bytes is judged: metadata with the facts of its events, then for
+    version 4 the replay of generations and provenance, then the receipt. A record that breaks
+    one is corrupt, or unsupported, with the first contract it breaks; its raw status is gone.
+    """
+    rows = loaded(files(spark, root)).drop("m")
+    saved = events(spark, root).where("event is not null").select("run_id", "event_index", "event.*").select("*", "evidence.*")
+    judged = rows.where(F.col("storage").isin("verified", "unverified")).select("run_id", "storage", "manifest", "record.*").join(records.run_facts(saved), "run_id", "left")
+    replay = judged.where("schema_version = 4").select("run_id", "completeness", "warnings", "target_exit_raw", "target_provenance")
+    replay = provenance_errors(replay, saved.withColumn("pair_id", F.lit(0))).select("run_id", F.col("error").alias("replay_error"))
+    said = lambda contract, error: F.when(error.isNotNull(), F.concat(F.lit(f"{contract}: "), error))
+    of_run = F.coalesce(records.run_error(F.col("storage") == "verified"), F.col("replay_error"))
+    error = F.coalesce(of_run, first_failure(records.receipt_rules()))
+    kind = F.lower(records.failure_kind(error, F.lit(None).cast("string")))
+    broken = judged.join(replay, "run_id", "left").select("run_id", F.coalesce(said("run contract", of_run), said("raw manifest contract", error)).alias("broken"), kind.alias("kind"))
+    rows = rows.join(broken, "run_id", "left")
+    whole = F.col("broken").isNull()
+    return rows.select("run_id", "record", F.coalesce("kind", "storage").alias("storage"), F.coalesce("broken", "detail").alias("detail"), *(F.when(whole, F.col(x)).alias(x) for x in ("raw_status", "raw_detail")))
 
 
 def list_json(rows: DataFrame) -> DataFrame:
