@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from runlens.functions import decode
 from runlens.functions.text import spelled_bytes
 from runlens.functions.vocab import AT_CALLS, IDENTITY_END, IDENTITY_WARNINGS, PARSE_WARNINGS, RETURNS_PATH, UNTRUSTED
-from runlens.session import checkpointed
+from runlens.session import checkpointed, ship_package
 
 from .context import context_state
 from .lifecycle import generations, stitched, timeline
@@ -100,13 +100,19 @@ def _warned(rows: DataFrame, at: Column, step: int, text: Column, phase: int = L
     return rows.select("run_id", F.lit(phase).alias("phase"), at.cast("long").alias("place"), F.lit(step).alias("step"), F.concat(place, text).alias("text"))
 
 
+def _states(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """States of the calls of ``rows``; ``found`` are the decoded calls, at least those of spawns."""
+    child = found.where("child_pid is not null").select("run_id", "line", F.col("child_pid").alias("child"))
+    control = rows.where("t in ('U', 'R', 'X', 'C')").join(child, ["run_id", "line"], "left").select("run_id", "line", "pid", "t", "op", "child")
+    return stitched(control, detail=True)
+
+
 def observations(lines: DataFrame) -> Parsed:
     """Events of single calls and exits, without identities and contexts, and the warnings of lines and of the end."""
+    ship_package(lines.sparkSession)
     rows = checkpointed(classified(lines))
     found = checkpointed(decoded(calls(rows)))
-    child = found.where("child_pid is not null").select("run_id", "line", F.col("child_pid").alias("child"))
-    control = rows.where("t in ('U', 'R', 'X', 'C')").join(child, ["run_id", "line"], "left").select("run_id", "line", "pid", "t", "op", "child")
-    states = checkpointed(stitched(control, detail=True))
+    states = checkpointed(_states(rows, found))
     good = states.where("state in ('complete', 'stitched')").select("run_id", F.col("end_line").alias("line"), F.col("line").alias("first"))
     kept = found.join(good, ["run_id", "line"])
     fields = ["run_id", "line", "end_line", "pid", "kind", "operation", "path", "outcome", "argv", "child_pid", "effect"]
@@ -153,9 +159,15 @@ def warned_events(events: DataFrame, warnings: DataFrame) -> DataFrame:
 
 
 def coverage(lines: DataFrame, events: DataFrame) -> DataFrame:
-    """Per run: whole calls of the raw log, events that aren't exits, calls without an event, events without a call."""
-    rows = calls(classified(lines))
-    whole = rows.select("run_id", F.col("line").alias("end_line"), "pid", F.col("op").alias("operation"), F.lit(1).alias("raw"), F.lit(0).alias("event"))
+    """Per run: whole calls of the raw log, events that aren't exits, calls without an event, events without a call.
+
+    A call isn't whole if a spawn of its task came between its halves.
+    """
+    ship_package(lines.sparkSession)
+    rows = checkpointed(classified(lines))
+    spawns = checkpointed(decoded(calls(rows).where(decode.kind_of(F.col("op")) == "spawn")))
+    rows = _states(rows, spawns).where("state in ('complete', 'stitched')")
+    whole = rows.select("run_id", "end_line", "pid", F.col("op").alias("operation"), F.lit(1).alias("raw"), F.lit(0).alias("event"))
     saved = events.where("kind <> 'exit'").select("run_id", "end_line", "pid", "operation", F.lit(0).alias("raw"), F.lit(1).alias("event"))
     both = whole.union(saved).groupBy("run_id", "end_line", "pid", "operation").agg(F.sum("raw").alias("raw"), F.sum("event").alias("event"))
     total = lambda c: F.sum(c).cast("long")

@@ -57,6 +57,12 @@ def test_spawns_and_open_calls(spark):
     assert warnings[:5] == ["replaced unfinished call", "task 3 unfinished call from line 4 predates spawn entry at line 5; consult raw evidence", "unmatched resumed call", "resumed syscall does not match line 3", "unfinished call from line 8 ended with task 2 exit; consult raw evidence"]
 
 
+def test_coverage_counts_no_call_that_a_spawn_broke(spark):
+    lines = lines_of(spark, '8 access("\\x2f\\x61", R_OK <unfinished ...>\n9 fork() = 8\n8 <... access resumed>) = 0\n9 read(3) = 0\n')
+    got = parse.coverage(lines, parse.observations(lines).events).first()
+    assert (got.n_calls, got.n_events, got.n_missing, got.n_extra) == (2, 1, 1, 0)
+
+
 @pytest.mark.parametrize(
     ("call", "path"),
     [
