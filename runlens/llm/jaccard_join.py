@@ -16,7 +16,9 @@ group of copies is expanded into pairs, yet no link between different texts is l
 4. Two members of one pivot that are still in different components meet if their size
    classes (steps of 1.25) are neighbours, and are compared by the same bounds, and by the
    triangle inequality where both distances to the pivot are known (they may differ by at
-   most 0.2) and belong to one text each. Pairs that pass are verified too.
+   most 0.2) and belong to one text each. Pairs that pass are verified too. Where many
+   members of a size class stay, a few of them by hash meet the others first: near copies
+   that their pivot didn't link become one component and don't all meet one another.
 5. Components by alternating large-star and small-star steps over written tables.
 
 Keys with many rows (a pivot of thousands, the centre of a star) are split: rows are
@@ -58,6 +60,8 @@ CLASS_STEP = math.log(100 / PERCENT) * 1.000001
 #: Rows of one key that are never split.
 FEW = 32
 MEMO_WORDS = 200_000
+#: Members of a size class of a pivot that all meet at once; of larger ones about so many go first, so many times.
+CROWD, PICKS, TURNS = 64, 16, 2
 #: Fewest bits of a signature; longer sets get the next power of two above their size.
 SIGNATURE = 256
 
@@ -358,6 +362,38 @@ def components(links: DataFrame) -> DataFrame:
     return root.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def sided(lists: DataFrame, found: DataFrame, n_rows: int) -> DataFrame:
+    """Members of pivots (a, b, j, n, sig, size) with their component ``c`` and the pivot's, ``cb``."""
+    label = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    own = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    side = salted_join(lists.join(label, "a", "left"), own, ["b"], "a", n_rows, "left")
+    return written(side.select("a", "b", "j", "n", "sig", "size", F.coalesce("ca", "a").alias("c"), F.coalesce("cb", "b").alias("cb")), "sides")
+
+
+def chosen(side: DataFrame, turn: int) -> DataFrame:
+    """About ``PICKS`` by hash of the members outside their pivot's component, of each size class that has more than ``CROWD``."""
+    minor = side.where("c != cb")
+    many = minor.groupBy("b", "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD)
+    rows = salted_join(minor, many, ["b", "size"], "a", minor.count())
+    return rows.where(F.pmod(F.xxhash64("a", F.lit(turn)), "k") < PICKS).select(*side.columns)
+
+
+def open_pairs(some: DataFrame, side: DataFrame) -> DataFrame:
+    """Members ``some`` of pivots against all members of the same pivot, in other components, whose bounds leave room for a link."""
+    near_size = F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))).alias("size")
+    other = side.select("b", near_size, *(F.col(x).alias(x + "2") for x in ("a", "j", "n", "sig", "c")))
+    fits = (F.col("c") != F.col("c2")) & F.coalesce(F.abs(F.col("j") - F.col("j2")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
+    fits &= room(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2"))
+    pairs = salted_join(some.drop("cb"), other, ["b", "size"], "a", some.count()).where(fits)
+    return pairs.select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b; a written table) that link by their full sets."""
+    sets = set_table(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return overlaps(pairs, sets).where(linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = session(docs)
@@ -409,24 +445,28 @@ def near_components(docs: DataFrame) -> DataFrame:
     links = tied.union(checked.where("link").select("a", "b"))
     found = written(components(links), "components")
     # 4. What one pivot brought together without a link so far: members outside its component against all its members.
-    label = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    own = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     known = checked.join(mixed, "a", "left_anti").join(mixed.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b", "j")
-    side = stars.join(known, ["a", "b"], "left").join(label, "a", "left")
-    side = salted_join(side, own, ["b"], "a", n_pairs, "left")
-    side = written(side.select("a", "b", "j", "n", "sig", F.floor(F.log("n") / CLASS_STEP).cast("int").alias("size"), F.coalesce("ca", "a").alias("c"), F.coalesce("cb", "b").alias("cb")), "sides")
-    minor = side.where("c != cb").drop("cb")
-    near_size = F.explode(F.array(*(F.col("size") + k for k in (-1, 0, 1)))).alias("size")
-    other = side.select("b", near_size, *(F.col(x).alias(x + "2") for x in ("a", "j", "n", "sig", "c")))
-    fits = (F.col("c") != F.col("c2")) & F.coalesce(F.abs(F.col("j") - F.col("j2")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    fits &= room(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2"))
-    left_over = salted_join(minor, other, ["b", "size"], "a", minor.count()).where(fits).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b"))
-    left_over = written(left_over.distinct(), "open")
+    lists = stars.join(known, ["a", "b"], "left")
+    lists = written(lists.select("a", "b", "j", "n", "sig", F.floor(F.log("n") / CLASS_STEP).cast("int").alias("size")), "lists")
+    # Near copies whose pivot is none of them are linked through a few of them first, so that they don't all meet one another.
+    side = sided(lists, found, n_pairs)
+    for turn in range(TURNS):
+        few = written(chosen(side, turn), "few")
+        open_ = written(open_pairs(few, side), "open")
+        more = None if open_.isEmpty() else written(verified(docs, open_), "more")
+        for used in (few, open_):
+            forget(used)
+        if more is None or more.isEmpty():
+            break
+        links = written(links.union(more), "links")
+        found = written(components(links), "components")
+        for used in (more, side):
+            forget(used)
+        side = sided(lists, found, n_pairs)
+    left_over = written(open_pairs(side.where("c != cb"), side), "open")
     if not left_over.isEmpty():
-        more_sets = set_table(docs, left_over.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        more = overlaps(left_over, more_sets).where(linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
-        found = written(components(links.union(more)), "components")
-    for used in (tied, mixed, stars, checked, side, left_over):
+        found = written(components(links.union(verified(docs, left_over))), "components")
+    for used in (tied, mixed, stars, checked, lists, side, left_over):
         forget(used)
     # A document follows the component of its representative (itself, if it is one).
     rep = same.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep"))

@@ -274,6 +274,21 @@ def test_a_doc_id_with_several_texts_links_both(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
 
 
+def test_near_copies_that_their_pivot_does_not_link(spark, monkeypatch):
+    rng, n = random.Random(8), 120
+    base = [f"w{k}" for k in range(139)]
+    edit = lambda words, k, word: [*words[:k], word, *words[k + 1 :]]
+    pivot = edit(edit(edit(base, 40, "x40"), 80, "x80"), 120, "x120")
+    # Passages that are frequent elsewhere stay out of the prefixes, so the pivot has all tokens by which the copies meet.
+    common = [x[k - 4 : k + 5] for x in (base, pivot) for k in (40, 80, 120) for _ in range(2 * n)]
+    rows = [(0, pivot), *((1 + k, edit(base, rng.randrange(10, 15), f"y{k}")) for k in range(n)), *((1000 + k, x) for k, x in enumerate(common))]
+    compared, plain = [], jaccard_join.overlaps
+    monkeypatch.setattr(jaccard_join, "overlaps", lambda pairs, sets: compared.append(pairs.count()) or plain(pairs, sets))
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_components(spark.createDataFrame([(i, " ".join(x)) for i, x in rows], TEXT)).collect()}
+    assert got[0] == 0 and {got[k] for k in range(1, n + 1)} == {1}
+    assert sum(compared) < n * (n - 1) / 4
+
+
 def test_one_of_each_takes_rows(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(7, text), (7, text), (None, text), (3, text + " end"), (9, "short"), (9, "short"), (None, None), (None, None), (8, "")]
