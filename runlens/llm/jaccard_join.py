@@ -257,6 +257,18 @@ def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, n_r
     return left.join(right, [*keys, "salt"], how).drop("salt")
 
 
+def gridded_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, by_other: str, n_rows: int) -> DataFrame:
+    """Join on ``keys``; both sides of crowded keys are split, as rows and columns of a grid, so each is copied by the root of the splits."""
+    many = F.broadcast(crowded(rows.select(*keys).union(other.select(*keys)), keys, n_rows))
+
+    def split(side: DataFrame, by: str, own: str, across: str) -> DataFrame:
+        out = side.join(many, keys, "left").withColumn("grid", F.coalesce(F.ceil(F.sqrt("salts")).cast("int"), F.lit(1))).drop("salts")
+        return out.withColumn(own, F.pmod(F.xxhash64(by), "grid").cast("int")).withColumn(across, F.explode(F.sequence(F.lit(0), F.col("grid") - 1))).drop("grid")
+
+    both = split(rows, by, "row", "column").join(split(other, by_other, "column", "row"), [*keys, "row", "column"])
+    return both.drop("row", "column")
+
+
 def _pivots(batches):
     """Of an index sorted by (token, leader): each leader with the first of its token; the partition's first run stays open."""
     first_token = token = pivot = first_pivot = None
@@ -384,7 +396,7 @@ def open_pairs(some: DataFrame, side: DataFrame) -> DataFrame:
     other = side.select("b", near_size, *(F.col(x).alias(x + "2") for x in ("a", "j", "n", "sig", "c")))
     fits = (F.col("c") != F.col("c2")) & F.coalesce(F.abs(F.col("j") - F.col("j2")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
     fits &= room(F.col("n"), F.col("n2"), F.col("sig"), F.col("sig2"))
-    pairs = salted_join(some.drop("cb"), other, ["b", "size"], "a", some.count()).where(fits)
+    pairs = gridded_join(some.drop("cb"), other, ["b", "size"], "a", "a2", some.count() + 3 * side.count()).where(fits)
     return pairs.select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b")).distinct()
 
 
