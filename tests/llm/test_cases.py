@@ -102,6 +102,20 @@ def test_training_bytes_are_bounded():
     assert [r[2] for r in got if r[0] == 0] == [0, 1] and [r[2] for r in got if r[0] == 1] == [99]
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """Beyond the rows of one shard, and with repeated rows: each label trains once an epoch, or is set aside."""
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 1000)
+    n = 12_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat(if(id % 2 = 0, 'vile ', 'tree '), id) AS text", "'en' AS lang")
+    marks = spark.range(n).selectExpr("id AS doc_id", "cast(id % 2 = 0 AS int) AS toxic")
+    rows = toxicity.training_rows(docs.union(docs.where("doc_id < 50")), marks.union(marks.where("doc_id > 900")))
+    assert rows.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(n))
+    assert rows.select("shard").distinct().count() == -(-rows.count() // 1000) and rows.where("aside").count() > rows.count() / 6
+    few = rows.where("not aside and shard < 2").limit(600).select("shard", "toxic", "data")
+    got = toxicity.trained(few, few.count(), few.where("toxic = 1").count()).compact()
+    assert toxicity.score(got, toxicity.features("vile 3")) > 0.9 and toxicity.score(got, toxicity.features("tree 4")) < 0.1
+
+
 def test_toxicity_with_one_class_or_no_labels(spark, docs):  # noqa: F811
     marks = spark.createDataFrame([(i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
     usable = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(20))
