@@ -19,7 +19,8 @@ group of copies is expanded into pairs, yet no link between different texts is l
    most 0.2) and belong to one text each. Pairs that pass are verified too. Where many
    members of a size class stay, a few of them by hash meet the others first: near copies
    that their pivot didn't link become one component and don't all meet one another.
-5. Components by alternating large-star and small-star steps over written tables.
+5. Components by alternating large-star and small-star steps over written tables; up to
+   ``ALONE`` links are settled in one task instead, as each step would write tables of many tiny files.
 
 Keys with many rows (a pivot of thousands, the centre of a star) are split: rows are
 counted per key, keys over a partition's even share are at most as many as partitions, so
@@ -62,6 +63,8 @@ FEW = 32
 MEMO_WORDS = 200_000
 #: Members of a size class of a pivot that all meet at once; of larger ones about so many go first, so many times.
 CROWD, PICKS, TURNS = 64, 16, 2
+#: Most links (16 bytes each) whose components one task settles.
+ALONE = 1 << 20
 #: Fewest bits of a signature; longer sets get the next power of two above their size.
 SIGNATURE = 256
 
@@ -350,11 +353,28 @@ def with_least(edges: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
     return rest.select("u", "v", "m").union(marked.where("m_hub is not null").select("u", "v", F.col("m_hub").alias("m"))), least
 
 
+def _settled(batches):
+    """The whole table of edges (u, v) to (node, component): roots hook on to smaller ones until every edge is within one tree."""
+    parts = [[np.zeros(0, np.int64)] * 2, *([c.to_numpy() for c in batch.columns] for batch in batches)]
+    nodes, at = np.unique(np.concatenate([x for side in zip(*parts) for x in side]), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (root[u] != root[v]).any():
+        x, y = root[u], root[v]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    for k in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + (1 << 16)]), pa.array(nodes[root[k : k + (1 << 16)]])], ["node", "component"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to (node, component): the smallest node reachable; only nodes of links appear."""
     edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = [F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))]
     before = edges.agg(*mark).first()
+    if before[0] <= ALONE:
+        return edges.coalesce(1).mapInArrow(_settled, "node long, component long")
     while before[0]:
         both = written(edges.union(edges.select(F.col("v"), F.col("u"))), "both")
         near, used = with_least(both, 2 * before[0])

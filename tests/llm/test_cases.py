@@ -259,6 +259,24 @@ def test_components_of_stars_chains_and_rings(spark):
     assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("alone", [jaccard_join.ALONE, 0], ids=["one task", "steps"])
+def test_few_links_are_settled_by_one_table(spark, monkeypatch, alone):
+    """Both ways agree with brute force; links that fit a task aren't written again and again."""
+    monkeypatch.setattr(jaccard_join, "ALONE", alone)
+    rng, tables = random.Random(6), []
+    nodes = [rng.randint(-(1 << 62), 1 << 62) for _ in range(400)]
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(260)] + list(zip(nodes[:90], nodes[1:91]))
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: tables.append(name) or written(df, name))
+    got = [(r.node, r.component) for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()]
+    assert len(got) == len(root) and dict(got) == root
+    assert len(tables) == 1 if alone else len(tables) > 5
+
+
 def test_meetings_spread_a_frequent_token(spark):
     rng = random.Random(4)
     rows = [(rng.choice([5, 5, 5, rng.randint(0, 50)]), rng.randint(0, 400)) for _ in range(1500)]
