@@ -116,6 +116,32 @@ def test_toxicity_learns_from_every_label(spark, monkeypatch):
     assert toxicity.score(got, toxicity.features("vile 3")) > 0.9 and toxicity.score(got, toxicity.features("tree 4")) < 0.1
 
 
+def test_states_of_shards_move_every_second_epoch(spark, monkeypatch):
+    """Every epoch trains once, in order, and what moves between shards is half as many states as epochs."""
+    monkeypatch.setattr(toxicity, "MIN_STEPS", 0)
+    data = [zlib.compress(toxicity.features(t).astype(np.int16).tobytes(), 1) for t in ("tree house", "vile house")]
+    rows = spark.createDataFrame([(k % 2, k // 2 % 2, data[k // 2 % 2]) for k in range(400)], "shard int, toxic int, data binary")
+    rounds, plain = [], toxicity._trainer
+    monkeypatch.setattr(toxicity, "_trainer", lambda shared: rounds.append(list(shared.value[1])) or plain(shared))
+    got = toxicity.trained(rows, 400, 200).compact()
+    assert sum(rounds, []) == list(range(toxicity.EPOCHS)) and len(rounds) == toxicity.EPOCHS / 2
+    assert toxicity.score(got, toxicity.features("vile house")) > 0.5 > toxicity.score(got, toxicity.features("tree house"))
+
+
+def test_scores_from_kept_words_are_the_same(monkeypatch):
+    """To the bit, also where a text has several blocks and its words push one another out."""
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(toxicity, "SLOTS", 64)
+    rng, network = random.Random(3), toxicity.Network()
+    network.table *= 3
+    fast = network.compact()
+    known = toxicity.Responses(fast)
+    letters = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
+    for text in [None, "", "One", *(" ".join(letters() for _ in range(n)) for n in (2, 3, 39, 41, 42, 300, 5))]:
+        assert toxicity.blockwise(fast, toxicity.text_words(text), known.of) == toxicity.score(fast, toxicity.features(text))
+        assert len(known.slots) <= 64
+
+
 def test_toxicity_with_one_class_or_no_labels(spark, docs):  # noqa: F811
     marks = spark.createDataFrame([(i, 1, 1) for i in range(20)], "doc_id long, quality int, toxic int")
     usable = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(20))
