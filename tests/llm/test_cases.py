@@ -128,18 +128,17 @@ def test_states_of_shards_move_every_second_epoch(spark, monkeypatch):
     assert toxicity.score(got, toxicity.features("vile house")) > 0.5 > toxicity.score(got, toxicity.features("tree house"))
 
 
-def test_scores_from_kept_words_are_the_same(monkeypatch):
-    """To the bit, also where a text has several blocks and its words push one another out."""
+def test_kept_words_have_their_own_buckets(monkeypatch):
+    """Also where a text has several blocks and its words push one another out."""
     monkeypatch.setattr(toxicity, "BLOCK_WORDS", 40)
-    monkeypatch.setattr(toxicity, "SLOTS", 64)
-    rng, network = random.Random(3), toxicity.Network()
-    network.table *= 3
-    fast = network.compact()
-    known = toxicity.Responses(fast)
+    monkeypatch.setattr(toxicity, "MEMO_WORDS", 64)
+    monkeypatch.setattr(toxicity, "_places", toxicity._Places())
+    rng, half = random.Random(3), toxicity.BUCKETS // 2
     letters = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
-    for text in [None, "", "One", *(" ".join(letters() for _ in range(n)) for n in (2, 3, 39, 41, 42, 300, 5))]:
-        assert toxicity.blockwise(fast, toxicity.text_words(text), known.of) == toxicity.score(fast, toxicity.features(text))
-        assert len(known.slots) <= 64
+    for n in (0, 1, 2, 39, 40, 41, 300, 5):
+        found = [letters() for _ in range(n)]
+        want = [[zlib.crc32(w.encode()) % half, *(half + zlib.crc32(b"%d" % k + w[:k].encode()) % half for k in (4, 5, 6, 7))] for w in found]
+        assert toxicity.features(" ".join(found)).tolist() == want and len(toxicity._places) <= 64
 
 
 def test_toxicity_with_one_class_or_no_labels(spark, docs):  # noqa: F811
